@@ -38,9 +38,7 @@ class PieceCounter:
         self.weight = np.array([1 if p in pieces else len(p.encode("utf-8")) for p in names] + [0, 1, 2, 3, 4], np.int64)
         order = {s: r for r, s in enumerate(sorted(set(pieces.values()), reverse=True))}
         table = sorted({(self.ids[p[:k]] << 20 | self.ids[p[k:]], order[s], self.ids[p]) for p, s in pieces.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids})
-        self.keys = np.array([t[0] for t in table] + [1 << 62], np.int64)
-        self.ranks = np.array([t[1] for t in table] + [NONE], np.int32)
-        self.made = np.array([t[2] for t in table] + [0], np.int32)
+        self._hash(table)
         # Pieces begin with their blanks, if any, so no pair spans a blank after another character; line ends and
         # other characters in no longer piece stand alone.
         joined = {c for p in pieces if len(p) > 1 for c in p}
@@ -56,11 +54,35 @@ class PieceCounter:
         known = {c: i if (i := get(c)) is not None else other + len(c.encode("utf-8")) for c in set(text)}
         return np.fromiter(map(known.__getitem__, text), np.int32, len(text)), np.fromiter(map(len, units), np.int64, len(units))
 
-    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _hash(self, table: list[tuple[int, int, int]]) -> None:
+        """Open addressing at a quarter's load, probed for whole arrays at a time."""
+        self.bits = max(4, (4 * len(table)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks, self.made = np.full(1 << self.bits, NONE, np.int32), np.zeros(1 << self.bits, np.int32)
+        key, rank, made = (np.array([t[k] for t in table], np.int64) for k in range(3))
+        at, todo = self._place(key), np.arange(len(table))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.ranks[at[put]], self.made[at[put]] = key[put], rank[put], made[put]
+            todo = np.setdiff1d(todo, put)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each pair; an empty slot, whose rank is NONE, if it never merges."""
         key = a.astype(np.int64) << 20 | b
-        at = np.searchsorted(self.keys, key)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
+        at = self._place(key)
+        found = self.keys[at]
+        off = np.flatnonzero((found != key) & (found >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[off]]
+            off = off[(found != key[off]) & (found >= 0)]
+        return at
 
     def merged(self, units: list[str]) -> np.ndarray:
         """Counts of the units, which are not empty."""
@@ -72,44 +94,45 @@ class PieceCounter:
         if not len(which):
             return out
         sym, size = self._symbols([units[k] for k in which])
+        last = np.zeros(len(sym), bool)
+        last[np.cumsum(size) - 1] = True
+        rank = np.where(last, NONE, self.ranks[self._pair(sym, np.append(sym[1:], 0))])
         while True:
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            last = np.zeros(len(sym), bool)
-            last[start + size - 1] = True
-            if len(sym) > 1:
-                rank, made = self._pair(sym, np.append(sym[1:], 0))
-            else:
-                rank, made = np.full(1, NONE, np.int32), np.zeros(1, np.int32)
-            rank = np.where(last, NONE, rank)
+            start = np.cumsum(size) - size
             low = np.minimum.reduceat(rank, start)
             done = low == NONE
             if done.any():
                 out[which[done]] = np.add.reduceat(self.weight[sym], start)[done]
-                keep = np.repeat(~done, size)
-                sym, rank, made, last = sym[keep], rank[keep], made[keep], last[keep]
-                which, size, low = which[~done], size[~done], low[~done]
+                which, keep, size, low = which[~done], np.repeat(~done, size), size[~done], low[~done]
                 if not len(which):
                     return out
-            owner = np.repeat(np.arange(len(which)), size)
-            at = np.flatnonzero(rank == low[owner])
-            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]  # the leftmost of each sequence
-            sym[at] = made[at]
+                sym, rank, last = sym[keep], rank[keep], last[keep]
+            at = np.flatnonzero(rank == np.repeat(low, size))
+            owner = np.searchsorted(np.cumsum(size), at, "right")
+            at = at[np.append(True, owner[1:] != owner[:-1])]  # the leftmost of each sequence
+            sym[at] = self.made[self._pair(sym[at], sym[at + 1])]
+            last[at] = last[at + 1]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym, size = sym[stay], size - 1
+            sym, rank, last, size = sym[stay], rank[stay], last[stay], size - 1
+            at = at - np.arange(len(at))  # one symbol went from every sequence
+            rank[at] = np.where(last[at], NONE, self.ranks[self._pair(sym[at], sym[np.minimum(at + 1, len(sym) - 1)])])
+            before = at[at > 0] - 1
+            before = before[~last[before]]
+            rank[before] = self.ranks[self._pair(sym[before], sym[before + 1])]
 
     def _heap(self, unit: str) -> int:
         sym = self._symbols([unit])[0]
         n = len(sym)
-        rank, made = self._pair(sym[:-1], sym[1:])
+        slot = self._pair(sym[:-1], sym[1:])
+        rank, made = self.ranks[slot], self.made[slot]
         ids, after, before = sym.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(int(rank[i]), int(i), ids[i], ids[i + 1], int(made[i])) for i in np.flatnonzero(rank < NONE)]
         heapq.heapify(heap)
 
         def push(i: int, j: int) -> None:
-            key = ids[i] << 20 | ids[j]
-            at = int(np.searchsorted(self.keys, key))
-            if self.keys[at] == key:
+            at = int(self._pair(np.array([ids[i]]), np.array([ids[j]]))[0])
+            if self.ranks[at] < NONE:
                 heapq.heappush(heap, (int(self.ranks[at]), i, ids[i], ids[j], int(self.made[at])))
 
         while heap:
