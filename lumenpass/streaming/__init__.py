@@ -1 +1 @@
-
+"""No operator here: the engine's one stream was a bounded batch of passages, which Arrow batches take the place of."""
