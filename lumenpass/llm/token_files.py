@@ -27,7 +27,8 @@ from lumenpass.llm.common import local_path, small_batches, work_path
 MAGIC = b"PFORIDS1"
 BLOCK = 128
 PERCENTILE = 0.9
-MEMORY = 500_000
+#: Pieces of text that a worker keeps, in each of two generations.
+PIECES = 400_000
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -126,16 +127,38 @@ class TokenFile:
         return unpack(n, np.array([0, z - a]), self.low[k : k + 1], self.width[k : k + 1], self.n_wide[k : k + 1], self.payload[a:z])
 
 
+class Generations(dict):
+    """Keys and their ids; when ``room`` new ones have come, those not met since the last time go."""
+
+    def __init__(self, room: int):
+        super().__init__({"": b""})
+        self.room, self.old = room, {}
+
+    def learn(self, keys: set[str], make) -> None:
+        new = keys.difference(self)
+        if len(self) + len(new) > self.room:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+            new = keys.difference(self)
+        again = new.intersection(self.old)
+        self.update({k: self.old[k] for k in again})
+        fresh = list(new.difference(again))
+        if fresh:
+            self.update(zip(fresh, make(fresh)))
+
+
 class ByteEncoder:
-    """The tokenizers library behind a memory of what stands between blanks.
+    """The tokenizers library behind a memory of pieces of text.
 
-    A blank before something that isn't white space always begins a token of a byte-level vocabulary, so the stretches
-    between such blanks can be encoded apart. New stretches go to the library joined by blanks; the tokens that begin
-    with the mark of a blank part them again. Texts with other white space after a blank, a blank at their end, or a
-    special string go to the library whole.
+    A byte-level vocabulary's own splitting ends a token wherever a run of letters or digits ends, and begins one at a
+    run, at the white space before it, or at the apostrophe between two runs. Cut there, pieces can be encoded apart:
+    ``PIECES`` are such runs and whatever stands between them. New pieces go to the library: runs after a blank joined
+    into long strings, where the mark of a blank parts their tokens again, others as they are. Texts with a special
+    string, or with controls that only Python takes for white space, go to the library whole.
     """
 
-    OTHER = re.compile(r" [\s\x85]")
+    PIECES = re.compile(r"(?:\s|[^\S ]?(?<![_ ]|[^\w\s])')?[^\W_]+|(?:[^\w\s']|_|'(?![^\W_])|(?<=[_ ]|[^\w\s])'| (?![^\W_])|[^\S ](?!'?[^\W_]))+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -143,37 +166,34 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         n = self.library.get_vocab_size(True)
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.later: dict[str, bytes] = {"": b""}
-        self.first: dict[str, bytes] = {"": b""}
+        self.apart = [t.content for t in self.library.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+        self.pieces = Generations(PIECES)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        for k in range(0, len(units), 4000):
-            part = units[k : k + 4000]
-            ids = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        runs = [p for p in pieces if p[0] == " " and p[1:].isalnum()]
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalnum())]
+        pieces[:] = runs + rest
+        out = []
+        parts = [runs[k : k + 4000] for k in range(0, len(runs), 4000)]
+        for part, got in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
             cuts = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
             if len(cuts) != len(part) + 1:
-                raise ValueError("stretches can't be told apart")
+                raise ValueError("runs can't be told apart")
             raw = ids.tobytes()
-            self.later.update(zip(part, [raw[a:z] for a, z in zip(cuts, cuts[1:])]))
+            out += [raw[a:z] for a, z in zip(cuts, cuts[1:])]
+        return out + self._whole(rest)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        odd = [i for i, t in enumerate(texts) if t.endswith(" ") or self.OTHER.search(t) or any(s in t for s in self.special)]
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.apart)]
         strange = set(odd)
-        units = [[] if i in strange else t.split(" ") for i, t in enumerate(texts)]
-        if len(self.later) > MEMORY:
-            self.later = {"": b""}
-            self.first = {"": b""}
-        new = list(set().union(*[u[1:] for u in units]).difference(self.later))
-        self._learn(new)
-        heads = list({u[0] for u in units if u}.difference(self.first))
-        self.first.update(zip(heads, self._whole(heads)))
-        later, first = self.later.__getitem__, self.first
-        out = [first[u[0]] + b"".join(map(later, u[1:])) if u else b"" for u in units]
+        units = [[] if i in strange else self.PIECES.findall(t) for i, t in enumerate(texts)]
+        self.pieces.learn(set().union(*units), self._learn)
+        out = [b"".join(map(self.pieces.__getitem__, u)) for u in units]
         for i, raw in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = raw
         return out
