@@ -13,9 +13,11 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +50,30 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def hits_of(lexicon: dict[str, tuple[int, int]], unit: str) -> tuple:
+    """(voter, entry) of each hit among the words of a stretch without white space; entry -1 for a seed."""
+    out = []
+    for w in WORD.findall(unit):
+        out += [hit for k in keys_of(w) if (hit := lexicon.get(k))]
+        if w in SEED_OF:
+            out.append((N_LEXICON + SEED_OF[w], -1))
+    return tuple(out)
+
+
+#: A worker remembers the hits of words for one lexicon, through all the tasks that bring it.
+_REMEMBERED: dict[int, Memory] = {}
+
+
 class Voters:
     """The lexicon {key: (voter, index)} and the votes it and the patterns cast."""
 
     def __init__(self, lexicon: dict[str, tuple[int, int]]):
         self.lexicon = lexicon
-        self.memory = Memory(self._unit, 500_000)
+        key = xxhash.xxh64_intdigest(repr(sorted(lexicon.items())))
+        if key not in _REMEMBERED:
+            _REMEMBERED.clear()
+            _REMEMBERED[key] = Memory(partial(hits_of, lexicon), 400_000)
+        self.memory = _REMEMBERED[key]
 
     def __getstate__(self):
         return self.lexicon
@@ -61,15 +81,6 @@ class Voters:
     def __setstate__(self, lexicon):
         self.__init__(lexicon)
 
-    def _unit(self, unit: str) -> tuple:
-        """(voter, entry) of each hit among the words of a stretch without white space; entry -1 for a seed."""
-        out = []
-        for w in WORD.findall(unit):
-            out += [hit for k in keys_of(w) if (hit := self.lexicon.get(k))]
-            if w in SEED_OF:
-                out.append((N_LEXICON + SEED_OF[w], -1))
-        return tuple(out)
-
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(votes, dense features, rows and entries of lexicon hits)."""
         counts = np.zeros((len(texts), N_LEXICON + N_SEED))
