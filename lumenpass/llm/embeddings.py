@@ -70,14 +70,15 @@ def block_links(x: np.ndarray, ids: np.ndarray, is_query: np.ndarray, is_home: n
     return total, root
 
 
-def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 16384, cell_rows: int = 1024, block_rows: int = 2048, max_cells: int = 2048) -> DataFrame:
+def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 16384, cell_rows: int = 2048, block_rows: int = 2048, max_cells: int = 2048) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
     Vectors of equal, non-null label and equal length link when their cosine in double precision reaches ``cosine``.
     Null, empty or zero vectors and those with null or non-finite components link with nothing. Repeated rows are
     further vectors. A row without an id links like any other but never names a component; its ``kept`` is false.
-    An empty table gives an empty result. ``cell_rows`` is the aimed size of a cell; a cell beyond ``block_rows`` (a
-    hot label, a group of thousands) is cut into salted parts, compared pairwise in tasks of their own.
+    An empty table gives an empty result. ``cell_rows`` is the aimed size of a cell within the largest label; a cell
+    beyond ``block_rows`` (a hot label, a group of thousands) is cut into salted parts, compared pairwise in tasks of
+    their own.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -87,7 +88,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     rows = written(rows.withColumn("__ok", F.coalesce(sound, F.lit(False))), "vectors")
     copies = written(rows.where("__ok").groupBy("__label", "__v").agg(F.count("*").alias("copies"), F.min("__id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "vector-groups")
 
-    sizes = [tuple(r) for r in copies.groupBy(F.size("__v").alias("dim")).count().collect()]  # a row for each length
+    by_label = copies.groupBy(F.size("__v").alias("dim"), "__label").count()
+    sizes = [tuple(r) for r in by_label.groupBy("dim").agg(F.max("count")).collect()]  # a row for each length
+    single = df.schema[vector_col].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64  # floats travel as such and are computed with as doubles
     centroids = {}
     for dim, n in sizes:
         sample = copies.where(F.size("__v") == dim).orderBy(F.xxhash64("__v")).limit(sample_rows).select("__v").toArrow()
@@ -104,11 +108,11 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
             for dim in np.unique(length):
                 of = np.flatnonzero(length == dim)
                 x = flat[starts[of][:, None] + np.arange(dim)]
-                x = x / np.linalg.norm(x, axis=1)[:, None]
-                row, cell, home = cells(x, centroids[int(dim)], cosine)
+                row, cell, home = cells(x / np.linalg.norm(x, axis=1)[:, None], centroids[int(dim)], cosine)
+                raw = [v.tobytes() for v in x.astype(kind)]
                 at = pa.array(of[row])
                 yield pa.RecordBatch.from_arrays(
-                    [label.take(at), pa.array(np.full(len(row), dim), pa.int32()), pa.array(cell.astype("i4")), pa.array(home), rep.take(at), weight.take(at), pa.array([v.tobytes() for v in x[row]], pa.binary())],
+                    [label.take(at), pa.array(np.full(len(row), dim), pa.int32()), pa.array(cell.astype("i4")), pa.array(home), rep.take(at), weight.take(at), pa.array([raw[i] for i in row], pa.binary())],
                     names=["label", "dim", "cell", "home", "rep", "weight", "x"],
                 )
 
@@ -123,7 +127,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     tasks = as_query.unionByName(as_home).select(*key, "q", "h", "query", "rep", "weight", "x")
 
     def compare(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        x = np.frombuffer(b"".join(table["x"].to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
         rep, query, weight = (table[c].to_numpy() for c in ("rep", "query", "weight"))
         # a representative may be here as query and as home: one node for both
         same, node = np.unique(rep, return_inverse=True)
