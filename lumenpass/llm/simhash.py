@@ -238,7 +238,8 @@ def keep_one_of_each(df: DataFrame, radius: int = 4, id_col: str = "doc_id", tex
     stats = near_duplicates(marked, radius, id_col=id_col)
     kept = marked.join(stats, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
     kept = written(kept, "kept")
-    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    # Both sides grow with the corpus: one shuffle of the texts, at any size.
+    rows = df.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
     # ids are unique as a rule: whole texts move for this only where some id repeats
     repeated = marked.groupBy(id_col).count().where("count > 1").limit(1).count()
     return rows.dropDuplicates([id_col]) if repeated else rows
