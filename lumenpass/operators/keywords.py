@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +17,16 @@ def generate(passages: DataFrame, options: KeywordOptions) -> DataFrame:
     """(source_id, passage_index, keywords) from the user's generator, called with ``batch_size`` passages at a time."""
     o = options.sane()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), o.batch_size):
-                got = list(o.generator(frame.iloc[a : a + o.batch_size].to_dict("records")))
-                yield pd.DataFrame({"source_id": [g[0] for g in got], "passage_index": pd.array([g[1] for g in got], dtype="int32"), "keywords": [list(g[2]) for g in got]})
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.string())]
 
-    return passages.mapInPandas(run, S.KEYWORD_RESULTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for a in range(0, len(rows), o.batch_size):
+                got = list(o.generator(rows[a : a + o.batch_size]))
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)], names=["source_id", "passage_index", "keywords"])
+
+    return passages.mapInArrow(run, S.KEYWORD_RESULTS)
 
 
 def apply_results(passages: DataFrame, results: DataFrame, options: KeywordOptions) -> DataFrame:
