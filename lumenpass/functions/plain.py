@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from lumenpass import options as O
 
@@ -12,15 +13,28 @@ NUMBERING = re.compile(r"^\s*(?:[0-9]+(?:\.[0-9]+)*|[IVXLCDM]+(?:\.[0-9]+)*)\.?\
 TERM = re.compile(O.TERM)
 
 
+#: What str.split() takes for white space and the column expressions don't.
+CONTROLS = re.compile("[\x1c-\x1f]")
+SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
+
+
 def normalize_whitespace(text: str | None) -> str:
-    joined = HYPHEN.sub(lambda m: m[1] + m[2] if m[2].islower() else m[0], text or "")
-    return " ".join(re.split(r"[ \t\n\x0b\x0c\r]+", joined)).strip(" ")
+    if not text:
+        return ""
+    if "-" in text:
+        text = HYPHEN.sub(lambda m: m[1] + m[2] if m[2].islower() else m[0], text)
+    if text.isascii() and not CONTROLS.search(text):
+        return " ".join(text.split())
+    return SPACES.sub(" ", text).strip(" ")
+
+
+_short = lru_cache(maxsize=65536)(normalize_whitespace)
 
 
 def clean_keywords(values: Iterable[str] | None, limit: int | None = O.KEYWORD_LIMIT) -> list[str]:
     seen: dict[str, str] = {}
     for v in values or []:
-        if t := normalize_whitespace(v):
+        if t := _short(v) if v and len(v) < 200 else normalize_whitespace(v):
             seen.setdefault(t.lower(), t)
     kept = list(seen.values())
     return kept if limit is None else kept[: max(0, limit)]

@@ -17,6 +17,11 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: a lambda would compute it for every element that refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def blank(x: Text) -> Column:
     """Null, empty, or white space only."""
     return F.coalesce(F.trim(F.regexp_replace(_c(x), r"\s+", " ")) == "", F.lit(True))
@@ -217,8 +222,13 @@ def reading_group(label: Text) -> Column:
 def clean_keywords(values: Text, limit: int | None = None) -> Column:
     """White space made plain, blanks dropped, the first spelling of each kept whatever its case, the first ``limit``."""
     tidy = F.filter(F.transform(F.coalesce(_c(values), F.array().cast("array<string>")), normalize_whitespace), lambda x: x != "")
-    kept = F.filter(tidy, lambda x, i: F.array_position(F.transform(tidy, F.lower), F.lower(x)) == i + 1)
-    return kept if limit is None else F.slice(kept, 1, max(0, limit))
+
+    def first_spellings(p: Column) -> Column:
+        each = F.array_distinct(p["l"])
+        each = each if limit is None else F.slice(each, 1, max(0, limit))
+        return F.transform(each, lambda x: F.element_at(p["t"], F.array_position(p["l"], x).cast("int")))
+
+    return let(tidy, lambda t: let(F.struct(t.alias("t"), F.transform(t, F.lower).alias("l")), first_spellings))
 
 
 def merge_keywords(existing: Text, generated: Text, limit: int = 16, replace: bool = False) -> Column:

@@ -21,12 +21,15 @@ def chunk_text(text: Column | str, options: ChunkOptions = ChunkOptions()) -> Co
     Windows shorter than ``min_chars`` are left out but keep their number, so numbers may have gaps; a tail inside the
     window before is still given.
     """
-    t = T.normalize_whitespace(text)
     size = max(1, options.max_chars)
     step = max(1, size - min(max(0, options.overlap_chars), size - 1))
-    numbers = F.sequence(F.lit(0), F.floor((F.length(t) - 1) / step).cast("int"))
-    pieces = F.transform(numbers, lambda k: F.struct(k.alias("index"), F.trim(F.substring(t, k * step + 1, F.lit(size))).alias("text")))
-    return F.when(F.length(t) > 0, F.filter(pieces, lambda p: F.length(p["text"]) >= options.min_chars)).otherwise(_none("struct<index:int,text:string>"))
+
+    def windows(t: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.length(t) - 1) / step).cast("int"))
+        pieces = F.transform(numbers, lambda k: F.struct(k.alias("index"), F.trim(F.substring(t, k * step + 1, F.lit(size))).alias("text")))
+        return F.when(F.length(t) > 0, F.filter(pieces, lambda p: F.length(p["text"]) >= options.min_chars)).otherwise(_none("struct<index:int,text:string>"))
+
+    return T.let(T.normalize_whitespace(text), windows)
 
 
 def enforce_bounds(chunk: Column | str, options: ChunkOptions = ChunkOptions()) -> Column:
