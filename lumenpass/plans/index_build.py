@@ -20,7 +20,9 @@ def with_ordinals(passages: DataFrame, order: tuple[str, ...] = ("source_id", "i
     Rows are range-partitioned and numbered within their partition; the partitions' sizes, one number each, are summed
     up and joined back, so no task sees all rows.
     """
-    ranged = passages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    # a stated number of ranges: adaptive execution must not join them differently for the two uses
+    n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = passages.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.count("*").alias("n"))
     before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"))  # a row for each partition
