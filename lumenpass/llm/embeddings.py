@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from lumenpass.llm.common import components, roots_of, small_batches, written
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, initial=0.0)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """k unit centroids of unit vectors; a cell that runs empty takes the vector that fits its centroid worst."""
     r = np.random.default_rng(seed)
@@ -83,8 +89,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).cast("array<double>").alias("__v"), F.col(label_col).cast("string").alias("__label"))
-    square = F.aggregate("__v", F.lit(0.0), lambda a, y: a + y * y)
-    sound = F.col("__label").isNotNull() & F.col("__v").isNotNull() & F.coalesce(square > 0, F.lit(False)) & ~F.coalesce(F.isnan(square), F.lit(True)) & (square < F.lit(float("inf")))
+    bad = F.exists("__v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = F.col("__label").isNotNull() & F.col("__v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("__v", lambda x: x != 0), F.lit(False))
     rows = written(rows.withColumn("__ok", F.coalesce(sound, F.lit(False))), "vectors")
     copies = written(rows.where("__ok").groupBy("__label", "__v").agg(F.count("*").alias("copies"), F.min("__id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "vector-groups")
 
@@ -96,7 +102,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     for dim, n in sizes:
         sample = copies.where(F.size("__v") == dim).orderBy(F.xxhash64("__v")).limit(sample_rows).select("__v").toArrow()
         x = np.array(sample.column(0).to_pylist(), np.float64)
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = unit(x)
         centroids[dim] = spherical_kmeans(x, min(max_cells, max(1, len(x) // 8), max(1, n // cell_rows)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +114,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
             for dim in np.unique(length):
                 of = np.flatnonzero(length == dim)
                 x = flat[starts[of][:, None] + np.arange(dim)]
-                row, cell, home = cells(x / np.linalg.norm(x, axis=1)[:, None], centroids[int(dim)], cosine)
+                row, cell, home = cells(unit(x), centroids[int(dim)], cosine)
                 raw = [v.tobytes() for v in x.astype(kind)]
                 at = pa.array(of[row])
                 yield pa.RecordBatch.from_arrays(
@@ -127,8 +133,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     tasks = as_query.unionByName(as_home).select(*key, "q", "h", "query", "rep", "weight", "x")
 
     def compare(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table["x"].to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = np.frombuffer(b"".join(table["x"].to_pylist()), kind).reshape(table.num_rows, -1)
+        x = unit(x.astype(np.float64))
         rep, query, weight = (table[c].to_numpy() for c in ("rep", "query", "weight"))
         # a representative may be here as query and as home: one node for both
         same, node = np.unique(rep, return_inverse=True)

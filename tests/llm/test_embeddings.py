@@ -57,6 +57,12 @@ def test_small_tables(spark):
     assert sorted((x.vec_id or -1, x.n_links, x.component_id, x.kept) for x in one) == [(-1, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True)]
 
 
+def test_extreme_doubles(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1.1e-200], 1), (3, [-1.0, 1.0], 1), (4, [0.0, -0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {x.vec_id: (x.n_links, x.component_id) for x in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 def test_cells_lose_no_partner():
     r = np.random.default_rng(9)
     x = r.normal(size=(800, 8))
