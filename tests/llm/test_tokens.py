@@ -1,8 +1,10 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import ODD, noise, table
@@ -78,12 +80,36 @@ def test_blocks_use_exceptions():
     assert width[0] == 3 and n_wide[0] == 8 and len(payload) == 16 * 3 + 5 * 8
 
 
+def flat(own, texts):
+    ids, n = own.encode_batch(pa.array(texts, pa.string()), 7)
+    z = np.cumsum(n)
+    return [ids[a:b].tolist() for a, b in zip(z - n, z)]
+
+
 def test_encoder_equals_the_library():
     path = P.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), token_files.ByteEncoder(path)
-    texts = [t or "" for t in TEXTS] + ["one two", " one two", "one two\nthree four", "a\n b", "a\n  b"]
-    for got, t in zip(own.encode(texts), texts):
-        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    r = random.Random(9)
+    pieces = ["'", "''", "'s", "'t", "_", " ", "  ", "\n", "\n\n", " \n", "\t", "a", "it", "THE", "1", ".", ",", "!!", "é", "ß", "\x85", "\xa0", "\x1c", "²", "<|endoftext|>", "日", "y" * 40]
+    texts = [t or "" for t in TEXTS] + ["one two", " one two", "a\n b", "a\n  b", "", ""] + ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(8000)]
+    want = [[*e.ids, 7] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert flat(own, texts) == want and flat(own, texts[::-1]) == want[::-1]
+    own.CHUNK = 50
+    assert flat(own, texts[:600]) == want[:600]
+    assert flat(own, []) == []
+
+
+def test_piece_table_probes_and_clears():
+    table = token_files.PieceTable(bits=8)
+    r = np.random.default_rng(1)
+    key = np.unique(r.integers(0, 40, (100, 5)), axis=0).T.astype(np.uint64)
+    same = np.zeros(key.shape[1], np.uint64)  # all in one slot
+    table.add(key, same, [np.full(k % 3, k, "<u4").tobytes() for k in range(key.shape[1])])
+    number = table.find(key, same)
+    assert np.array_equal(number, np.arange(key.shape[1])) and table.size[5] == 2 and table.ids[table.start[5]] == 5
+    assert (table.find(key + np.uint64(100), same) < 0).all()
+    table.clear()
+    assert (table.find(key, same) < 0).all()
 
 
 def test_token_files(spark):
