@@ -214,14 +214,16 @@ def fit_field(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
     bad = good[document] == 0
     # Lines weigh alike: what good documents are made of outweighs its share in bad ones, and so is found good there.
     importance = np.ones(len(bad))
-    field.fit(features, n_lines, bad, importance, 100)
+    field.fit(features, n_lines, bad, importance, 150)
     for _ in range(2):
         p = field.marginals(features, n_lines)[0]
         # the worst line of a bad document stays bad, good-looking ones become good
         worst = np.zeros(len(rows))
         np.maximum.at(worst, document, p)
         bad = (good[document] == 0) & ((p > 0.5) | (p >= worst[document]))
-        field.fit(features, n_lines, bad, importance, 40)
+        # what is now called bad is rare and sure: both kinds of lines weigh the same
+        importance = np.where(bad, (~bad).sum() / max(1, bad.sum()), 1.0)
+        field.fit(features, n_lines, bad, importance, 80)
     field.line = calibrate(field.shares(features, size, n_lines), good)
     return field
 
