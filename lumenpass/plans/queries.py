@@ -150,7 +150,7 @@ _PATHS = "CASE doc_id % 7 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['1. Abstract']
 
 def _paths() -> F.Column:
     k = F.col("doc_id") % 7
-    out = F.when(k == 0, T.array_of([]) if False else F.array().cast("array<string>"))
+    out = F.when(k == 0, F.array().cast("array<string>"))
     for n, path in enumerate([["1. Abstract"], ["Paper", "References"], ["Appendix A"], ["IV Methods"], ["Bibliography of works"]], 1):
         out = out.when(k == n, T.array_of(path))
     return out.otherwise(T.array_of(["Paper", "NeurIPS Paper Checklist"]))
@@ -592,3 +592,140 @@ def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.udf(trip, "struct<manifest_version: int, n_sources: long, last_file: string>", useArrow=True)
     counted = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"), F.max("s_suppkey").alias("last"))
     return counted.select(made("n", "last").alias("m")).select("m.*")
+
+
+# More of the column functions
+
+
+@query(
+    rf"""SELECT doc_id, line_no, CASE WHEN regexp_matches(trim(line), '^(#{{1,6}})\s+(.+?)\s*#*\s*$') THEN length(regexp_extract(trim(line), '^(#{{1,6}})\s', 1)) ELSE 0 END AS level,
+      {s_norm(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '__([^_]+)__', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '_([^_]+)_', '\1', 'g'), '\[(.*?)\]\([^)]+\)', '\1', 'g')")} AS plain,
+      rtrim(replace(line, chr(9), '    ')) AS tidy
+    FROM (SELECT doc_id, line_no, CASE doc_id % 3 WHEN 0 THEN '## **' || line || '** `x` ##' WHEN 1 THEN '_' || line || '_ [a](b)' ELSE chr(9) || line || ' ' END AS line FROM ({_LINES}))"""
+)
+def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown headings, inline markup and tabs of lines dressed up for it."""
+    line, k = F.col("line"), F.col("doc_id") % 3
+    dressed = F.when(k == 0, F.concat(F.lit("## **"), line, F.lit("** `x` ##"))).when(k == 1, F.concat(F.lit("_"), line, F.lit("_ [a](b)"))).otherwise(F.concat(F.lit("\t"), line, F.lit(" ")))
+    df = _lines(spark, sf_dir).withColumn("line", dressed)
+    return df.select("doc_id", "line_no", F.col("line").alias("raw")).select("doc_id", "line_no", F.coalesce(T.markdown_heading("raw")["level"].cast("long"), F.lit(0)).alias("level"), T.strip_inline_markup("raw").alias("plain"), T.normalize_line("raw").alias("tidy"))
+
+
+@query(
+    f"""SELECT doc_id, 'Section: ' || source || chr(10) || text AS chunk, source AS heading, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 9) || '.' || (doc_id % 4) END AS parts,
+      CASE WHEN len({_PATHS}) = 1 THEN 'front_matter' ELSE 'other' END AS front FROM documents"""
+)
+def headed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their section's heading, the heading read back, numbered headings, and front matter by short paths."""
+    d = table(spark, sf_dir, "documents").withColumn("chunk", T.format_chunk("source", "text"))
+    numbered = F.when(F.col("doc_id") % 2 == 0, F.concat((F.col("doc_id") % 9).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string"), F.lit(" Title"))).otherwise(F.lit("Title"))
+    front = F.when(T.structured_role(_paths(), "text") == "front_matter", "front_matter").otherwise("other")
+    return d.select("doc_id", "chunk", T.heading_of("chunk").alias("heading"), F.array_join(T.numbered_heading_parts(numbered).cast("array<string>"), ".").alias("parts"), front.alias("front"))
+
+
+@query(
+    f"""SELECT doc_id, k::BIGINT AS k, txt AS text FROM (
+      SELECT doc_id, 0 AS k, text AS txt FROM documents WHERE length(text) <= 1800
+      UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY w.idx) - 1, w.txt FROM (SELECT doc_id, {s_norm("text")} AS t FROM documents WHERE length(text) > 1800) d, LATERAL {s_windows("d.t")} w WHERE length(w.txt) >= 20)"""
+)
+def bounded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as chunks: kept as they are, or cut into windows where too long."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.enforce_bounds("text")).alias("k", "text")).withColumn("k", F.col("k").cast("long"))
+
+
+@query(
+    f"""{_PAIR} SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b, round({_OVER}, 4) AS shared, round({_share("x")}, 6) AS share, least(x.r, y.r) > greatest(x.l, y.l) AS beside,
+      CASE WHEN least(x.r, y.r) > greatest(x.l, y.l) AND least(x.b, y.b) > greatest(x.t, y.t) THEN greatest(x.l, y.l) END AS left_edge, x.l * 2 AS scaled FROM x JOIN y ON x.l_orderkey = y.l_orderkey"""
+)
+def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersections, shares and sideways overlap of an order's even and odd boxes; scaled boxes."""
+    df = _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", G.to_top_left("box", F.lit(400)).alias("box"))
+    x = df.where("l_linenumber % 2 = 0").select("l_orderkey", F.col("l_linenumber").alias("a"), F.col("box").alias("p"))
+    y = df.where("l_linenumber % 2 = 1").select("l_orderkey", F.col("l_linenumber").alias("b"), F.col("box").alias("q"))
+    scaled = G.scale("p", F.lit(100), F.lit(0), F.lit(200), F.lit(50))["l"]
+    return x.join(y, "l_orderkey").select("l_orderkey", "a", "b", F.round(G.intersection_area("p", "q"), 4).alias("shared"), F.round(G.intersection_over_self("p", "q"), 6).alias("share"), G.horizontally_overlaps("p", "q").alias("beside"), G.intersection("p", "q")["l"].alias("left_edge"), scaled.alias("scaled"))
+
+
+@query(
+    """SELECT vec_id, CASE WHEN list_max(e) <= 1.5 THEN round((e[1] - e[3] / 2) * 640, 4) ELSE round(e[1] * 2.0, 4) END AS l, CASE WHEN list_max(e) <= 1.5 THEN round((e[2] + e[4] / 2) * 480, 4) ELSE round(e[4] * 2.0, 4) END AS b
+    FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:4]::DOUBLE[] ELSE list_transform(embedding[1:4], lambda x: 2.0 + abs(x::DOUBLE) * 100) END AS e FROM embeddings)"""
+)
+def detection_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector's numbers, relative or in pixels, as boxes."""
+    e = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    four = F.when(F.col("vec_id") % 2 == 0, e).otherwise(F.transform(e, lambda x: 2.0 + F.abs(x) * 100))
+    made = table(spark, sf_dir, "embeddings").select("vec_id", G.decode_detection(four, F.lit(640), F.lit(480), F.lit(320), F.lit(240)).alias("d"))
+    return made.select("vec_id", F.round("d.l", 4).alias("l"), F.round("d.b", 4).alias("b"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'given' WHEN doc_id % 4 = 1 THEN 'checkbox|chart|photo' WHEN doc_id % 4 = 2 THEN 'chart|photo' ELSE 'key value region|chart|photo' END AS keywords,
+      CASE WHEN doc_id % 4 = 2 THEN '' ELSE CASE doc_id % 4 WHEN 0 THEN 'picture' WHEN 1 THEN 'checkbox_selected' ELSE 'key_value_region' END END AS labels,
+      list_transform(range(1, (doc_id % 3) + 1), lambda i: '[PDF image note: page ' || doc_id || ', image ' || i || ', 10x' || i || ' samples. Embedded image detected during PDF processing.]').array_to_string(chr(10)) AS notes,
+      CASE WHEN doc_id % 2 = 0 THEN '1,3' ELSE '2' END AS pages FROM documents"""
+)
+def item_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords, labels, image notes and pages of invented document items."""
+    k = F.col("doc_id") % 4
+    label = F.when(k == 0, "picture").when(k == 1, "checkbox_selected").when(k == 2, "text").otherwise("key_value_region")
+    classes = F.array(F.struct(F.lit("photo").alias("class_name"), F.lit(0.2).alias("confidence")), F.struct(F.lit("chart").alias("class_name"), F.lit(0.7).alias("confidence")))
+    explicit = F.when(k == 0, T.array_of([" given ", "Given"])).otherwise(F.array().cast("array<string>"))
+    images = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), lambda i: F.struct(F.lit(10).alias("width"), i.alias("height")))
+    images = F.slice(images, 2, 9)
+    prov = F.transform(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(3), F.lit(0), F.lit(1), F.lit(3))).otherwise(F.array(F.lit(2))), lambda n: F.struct(n.alias("page_no")))
+    d = table(spark, sf_dir, "documents").select("doc_id", label.alias("label"), classes.alias("classes"), explicit.alias("explicit"), images.alias("images"), prov.alias("prov"))
+    return d.select(
+        "doc_id", F.array_join(T.weak_keywords("label", "classes", "explicit"), "|").alias("keywords"), F.array_join(T.layout_labels("label"), "|").alias("labels"),
+        documents.image_notes("images", "doc_id").alias("notes"), F.array_join(T.sorted_pages("prov").cast("array<string>"), ",").alias("pages"),
+    )
+
+
+@query(
+    """SELECT l_orderkey, sum(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 4 END)::BIGINT AS n_chars, sum(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 4 END) >= 10 AS enough FROM lineitem GROUP BY l_orderkey"""
+)
+def page_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of a page's cells after normalization, and whether they are enough."""
+    text = F.when(F.col("l_linenumber") % 3 == 0, " \n").otherwise(" a \t bc ")
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_no"), text.alias("text"))
+    both = cells.text_length(own).join(cells.has_enough_text(own, 10), "page_no")
+    return both.select(F.col("page_no").alias("l_orderkey"), F.col("n_chars").cast("long").alias("n_chars"), "enough")
+
+
+@query(
+    f"""WITH v AS (SELECT label, list(embedding ORDER BY vec_id)[1:5] AS d FROM embeddings GROUP BY label), q AS (SELECT list(embedding ORDER BY vec_id) AS q FROM embeddings WHERE vec_id < 4)
+    SELECT label, round(list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))), 6) AS dense,
+      round(1.0 * list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))) + 0.15 * label, 6) AS score FROM v, q"""
+)
+def maxsim_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MaxSim as a column expression over small sets of vectors, and the weighted sum."""
+    v = table(spark, sf_dir, "embeddings")
+    ordered = lambda df: F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    d = v.groupBy("label").agg(F.slice(ordered(v), 1, 5).alias("d"))
+    q = v.where("vec_id < 4").agg(ordered(v).alias("q"))
+    scored = d.join(F.broadcast(q)).select("label", scoring.max_sim("q", "d").alias("dense"))
+    return scored.select("label", F.round("dense", 6).alias("dense"), F.round(scoring.combined_score("dense", "label", 1.0, 0.15), 6).alias("score"))
+
+
+@query("SELECT p_partkey, true AS valid, p_partkey % 7 + 1 AS cut_width, sha256(unhex(repeat('0a141e', 12))) AS resized FROM part")
+def image_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of one colour: valid, cropped, resized."""
+    from lumenpass.functions import images
+
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7 + 2).cast("int").alias("w"), (F.col("p_partkey") % 5 + 2).cast("int").alias("h"))
+    made = p.withColumn("px", images.solid_column("w", "h", "0a141e"))
+    cut = made.withColumn("c", images.crop_column(G.box(F.lit(1), F.lit(0), F.col("w"), F.lit(2)), "w", "h", "px")).withColumn("r", images.resize_column(3, 4, "w", "h", "px"))
+    return cut.select("p_partkey", images.valid_column("w", "h", "px").alias("valid"), F.col("c.width").cast("long").alias("cut_width"), F.sha2("r.pixels", 256).alias("resized"))
+
+
+@query(ORACLE_SQL["hybrid_rrf"])
+def persisted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over an index that was saved to the shared folder and loaded again."""
+    import tempfile
+    import uuid
+
+    from lumenpass.sources import index_store
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenpass-index-")
+    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    index_store.save(_index(spark, sf_dir), path)
+    return _rounded(search.query_encoded(index_store.load(spark, path), _queries(spark, sf_dir), _query_vectors(spark, sf_dir), digits=9))
