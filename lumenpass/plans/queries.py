@@ -29,7 +29,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return documents.spread(df, "doc_id") if name == "documents" else df
 
 
 # SQL pieces
@@ -341,7 +342,7 @@ def _index(spark: SparkSession, sf_dir: str) -> search.Index:
     """Documents as passages; document p owns the embeddings whose id leaves p, as token vectors in id order."""
     docs = _indexed(spark, sf_dir)
     n = docs.count()
-    posted = tfidf.postings(docs)
+    posted = tfidf.postings(docs).persist()  # read twice: for the vocabulary and for the scores
     v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).alias("ordinal"), "vec_id", "embedding")
     return search.Index(docs, encoder.pack_vectors(v, "ordinal", "vec_id", "embedding"), posted, tfidf.terms(posted, n), n)
 

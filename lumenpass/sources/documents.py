@@ -23,6 +23,12 @@ def prechunked(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, S.SOURCES_PRECHUNKED)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out by a key; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def as_pdf(df: DataFrame) -> DataFrame:
     """Sources shown as PDFs."""
     return df.withColumn("display_name", F.concat(F.lit("PDF: "), F.col("display_name")))

@@ -185,7 +185,7 @@ def encode_binary(index: dict, magic: str) -> bytes:
 IMPORTED = f"path string, version int, ordinal int, {S.PASSAGES}, terms array<string>, {S.MULTI_VECTOR}, error string"
 
 
-def import_binary(spark: SparkSession, folder: str, glob: str = "*.fsci", magic: str | None = None) -> DataFrame:
+def import_binary(spark: SparkSession, folder: str, glob: str = "*", magic: str | None = None) -> DataFrame:
     """Passages and vectors of the old binary files right under a folder, a row with an error for a broken file."""
     columns = [c.split()[0].strip("`") for c in IMPORTED.replace("array<", "").split(", ")]
 

@@ -269,3 +269,13 @@ def test_catalog(tmp_path):
     asked = []
     catalog.ensure_downloaded(lambda u: asked.append(u) or b"x", str(half), m)
     assert asked == ["u2"]
+
+
+def test_spread(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert documents.spread(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and documents.spread(df, "id").count() == 100
+    spark.range(100).repartition(8).write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    assert documents.spread(df, "id") is df

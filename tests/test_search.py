@@ -153,8 +153,8 @@ def test_binary_import(spark, tmp_path, version):
     assert q["keywords"] == (["k"] if version >= 3 else []) and q["section_path"] == (["A", "B"] if version >= 4 else [])
     assert (q["content_role"], q["page_numbers"]) == (("abstract", [2, 3]) if version >= 5 else ("unknown", []))
     assert q["captions"] == (["c"] if version >= 6 else []) and got["tfidf_options"] == (TfidfOptions(2.0, 4.0) if version >= 3 else TfidfOptions())
-    (tmp_path / "a.fsci").write_bytes(raw)
-    (tmp_path / "b.fsci").write_bytes(b"\x03bad\x00\x00\x00\x00")
+    (tmp_path / "a.idx").write_bytes(raw)
+    (tmp_path / "b.idx").write_bytes(b"\x03bad\x00\x00\x00\x00")
     rows = index_store.import_binary(spark, str(tmp_path)).collect()
     assert sorted((r.source_id or "", r.error is None) for r in rows) == [("", False), ("s", True)]
 
