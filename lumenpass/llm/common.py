@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lumenpass.sources.documents import spread
+
 _OWN_FOLDER: dict[str, str] = {}
 
 
@@ -47,7 +49,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; fewer files than cores are spread over the cores (see ``spread``)."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def per_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
