@@ -89,6 +89,20 @@ def test_rrf_scores_and_no_filter(spark):
     assert [x.ordinal for x in got] == [0]
 
 
+@pytest.mark.parametrize("m,lw", [(1, 0.15), (3, 0.9), (3, 0.0), (2, 5.0), (40, 0.15)])
+def test_depth_holds_all_results(spark, m, lw):
+    r = np.random.default_rng(3)
+    n = 60
+    i = index_of(spark, [(str(k), "some text") for k in range(n)], r.normal(size=(n, 2)).round(1).tolist())
+    got = hits(spark, i, "nothing", (1, 0), SearchOptions(use_lexical_filter=False, max_results=m, lexical_weight=lw, fusion_k=5))
+    dense = np.array([x.vectors[0] for x in i.vectors.orderBy("ordinal").collect()])
+    rank = np.empty(n)
+    rank[np.argsort(-dense, kind="stable")] = np.arange(1, n + 1)
+    score = 1 / (5 + rank) + lw / (5 + np.arange(1, n + 1))
+    want = sorted(range(n), key=lambda k: (-score[k], -dense[k], k))[:m]
+    assert [x.ordinal for x in got] == want and [x.score for x in got] == pytest.approx(score[want])
+
+
 def test_keywords(spark):
     df = passages(spark, [("a", "text", [" Old ", "old"]), ("b", "text")])
     made = keywords.elaborate(df, KeywordOptions(batch_size=1, generator=lambda batch: [(p["source_id"], p["index"], ["new", "OLD"]) for p in batch if p["source_id"] == "a"]))
