@@ -31,8 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[app]
 
 
+_PATHS: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what operators wrote in this session's shared folder; their results can't be read any more."""
+    while _PATHS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -381,7 +381,12 @@ def write_files(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
             own = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(own) as out:
                 out.write(to_bytes(np.concatenate(held), docs, counts))
-            store.move(own, f"{base}/{name}")
+            try:
+                store.move(own, f"{base}/{name}")
+            except OSError:  # some stores don't move onto a file; another attempt's is the same
+                if not store.get_file_info(f"{base}/{name}").is_file:
+                    raise
+                store.delete_file(own)
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([n_held], pa.int64())], names=["file", "n_docs", "n_ids"])
             docs, counts, held, n_held, done = [], [], [], 0, done + 1
             return row

@@ -95,3 +95,15 @@ def test_components_both_ways(spark):
     one = sorted(map(tuple, components(edges).collect()))
     many = sorted(map(tuple, components(edges, one_task_edges=0).collect()))
     assert one == many and dict(one)[60] == 0 and dict(one)[900] == 900
+
+
+def test_release(spark):
+    import os
+
+    from lumenpass.llm import common
+
+    df = common.written(spark.range(3), "t")
+    path = common._PATHS[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._PATHS
