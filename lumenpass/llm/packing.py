@@ -69,7 +69,8 @@ def pack(lengths: DataFrame, capacity: int = 4096, per_source: int = 2, shard_ro
     small_batches(spark)
     slim = written(lengths.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster")), "lengths")
     shards = max(1, -(-slim.count() // shard_rows))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "cluster", F.lit(11)), F.lit(shards)))
+    # the row's place in the written table tells equal rows apart
+    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(11)), F.lit(shards)))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()

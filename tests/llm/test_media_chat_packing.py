@@ -146,3 +146,11 @@ def test_packing(spark):
         assert len(set(folded)) == len(folded)
         assert all(n <= 2 for s, n in Counter(x.source for x in b).items() if s is not None)
     assert packing.pack_documents(df.limit(0), path).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark):
+    lengths = spark.range(3000).selectExpr("7L doc_id", "10L n_tokens", "'s' source", "5L cluster")
+    got = packing.pack(lengths, capacity=64, shard_rows=300).collect()
+    assert len(got) == 3000 and len({r.bin_id for r in got}) == 3000
+    sizes = Counter(r.bin_id.split("-")[0] for r in got)
+    assert len(sizes) == 10 and max(sizes.values()) < 400
