@@ -139,12 +139,13 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
         # a representative may be here as query and as home: one node for both
         same, node = np.unique(rep, return_inverse=True)
         total, root = block_links(x, rep, query, ~query, weight, cosine)
-        linked = total > 0
-        low = np.arange(len(same))
-        if linked.any():
-            nodes, lows = roots_of(np.concatenate([node, node]), np.concatenate([node[root], node]))
-            low[nodes] = lows
-        return pa.table({"rep": rep[linked], "near": total[linked], "root": same[low[node[linked]]]})
+        near, low = np.zeros(len(same), np.int64), np.arange(len(same))
+        np.add.at(near, node, total)
+        nodes, lows = roots_of(node, node[root])
+        low[nodes] = lows
+        # both ends of every link leave with the task's root, so that the tasks' trees together span all links
+        linked = np.isin(low, low[low != np.arange(len(same))])
+        return pa.table({"rep": same[linked], "near": near[linked], "root": same[low[linked]]})
 
     found = written(tasks.groupBy(*key, "q", "h").applyInArrow(compare, "rep long, near long, root long"), "vector-links")
     near = found.groupBy("rep").agg(F.sum("near").alias("near"))

@@ -50,6 +50,21 @@ def test_against_brute_force(spark, block):
     assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in got} == by_hand(rows)
 
 
+def test_links_across_cells_of_unequal_parts(spark):
+    r = np.random.default_rng(2)
+    a, b, *others = np.eye(24)
+    x = [a + 0.03 * r.normal(size=24) for _ in range(100)] + [b + 0.03 * r.normal(size=24) for _ in range(400)]
+    for _ in range(40):  # a hub on b's side of the plane that links with two on a's side, which don't link
+        u, v = np.linalg.qr(r.normal(size=(22, 2)))[0].T @ others
+        hub = 0.28 * (a + b) + 0.9 * u
+        x += [hub + 0.07 * (b - a), hub + 0.07 * (a - b) + 0.28 * v, hub + 0.07 * (a - b) - 0.28 * v]
+    rows = [(i, x[k].tolist(), 1) for i, k in enumerate(r.permutation(len(x)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    # two cells: a's has one part, b's two
+    got = embeddings.near_duplicates(df, cell_rows=300, block_rows=300).collect()
+    assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in got} == by_hand(rows)
+
+
 def test_small_tables(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
