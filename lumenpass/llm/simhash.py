@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lumenpass.llm.common import components, per_text, roots_of, written
+from lumenpass.llm.common import components, per_text, roots_of, small_batches, written
 
 SEED = 42
 
@@ -67,6 +68,19 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return per_text(df, id_col, text_col, "fp long", lambda: lambda texts: (majority([hashes(t, words) for t in texts]).view(np.int64),))
 
 
+def with_fingerprints(df: DataFrame, text_col: str = "text", words: int = 4) -> DataFrame:
+    """The whole rows and their fingerprint as ``__fp``."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = majority([hashes(t or "", words) for t in b.column(at).to_pylist()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "__fp"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("__fp", LongType())]))
+
+
 def stretches(radius: int) -> list[int]:
     """Masks of radius + 1 stretches that cover 64 bits."""
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
@@ -173,10 +187,11 @@ def links(fp: np.ndarray, weight: np.ndarray, side: np.ndarray, both: bool, k: i
 
 
 def near_duplicates(marked: DataFrame, radius: int = 4, shard_rows: int = 8192, sample_rows: int = 16384, id_col: str = "doc_id", name: str = "n_near") -> DataFrame:
-    """(fp, copies, n_near, component_id) for each distinct fingerprint of ``marked`` (id, fp).
+    """(fp, copies, n_near, component_id, root) for each distinct fingerprint of ``marked`` (id, fp).
 
     ``n_near`` counts the other documents within ``radius`` bits of one with this fingerprint (its copies included);
-    ``component_id`` is the smallest id reachable by links. Only counts and a spanning forest leave a task, never all
+    ``component_id`` is the smallest id reachable by links, null where no row has one; ``root`` is the smallest
+    fingerprint reachable. Only counts and a spanning forest leave a task, never all
     pairs. The trees are grown from a bounded sample of fingerprints; a shard that holds more than ``shard_rows`` is
     cut into salted parts that are compared pairwise in tasks of their own.
     """
@@ -218,7 +233,7 @@ def near_duplicates(marked: DataFrame, radius: int = 4, shard_rows: int = 8192,
     roots = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
     joined = distinct.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return joined.join(lowest, "root").select("fp", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias(name), "component_id")
+    return joined.join(lowest, "root").select("fp", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias(name), "component_id", "root")
 
 
 def simhash_table(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,13 +248,20 @@ def simhash_table(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_c
 
 
 def keep_one_of_each(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is their component's smallest; of rows that repeat that id and fingerprint, one."""
+    """One row of ``df`` for each component: the one whose id is the component's smallest.
+
+    Of rows that repeat that id in the component, and of a component without ids, one with the smallest fingerprint is
+    kept. An id may stand in several components; a null one is no document of its own.
+    """
     marked = written(fingerprints(df, id_col, text_col), "simhash")
     stats = near_duplicates(marked, radius, id_col=id_col)
-    kept = marked.join(stats, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = written(kept, "kept")
-    # Both sides grow with the corpus: one shuffle of the texts, at any size.
-    rows = df.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    # ids are unique as a rule: whole texts move for this only where some id repeats
+    named = marked.join(stats, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = written(named.groupBy("root").agg(F.min(id_col).alias("__keep"), F.min("fp").alias("__of")).drop("root"), "kept")
+    same = F.col(id_col).eqNullSafe(F.col("__keep"))
+    # ids are unique as a rule: only where some id repeats are whole rows read with their fingerprints
     repeated = marked.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates([id_col]) if repeated else rows
+    # Both sides grow with the corpus: one shuffle of the texts, at any size.
+    if not repeated:
+        return df.join(kept.hint("merge"), same, "left_semi")
+    rows = with_fingerprints(df, text_col).join(kept.hint("merge"), same & (F.col("__fp") == F.col("__of")), "left_semi")
+    return rows.dropDuplicates([id_col, "__fp"]).drop("__fp")

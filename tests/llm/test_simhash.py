@@ -59,6 +59,27 @@ def test_whole_table(spark):
     assert sorted(x.doc_id for x in kept) == sorted({c for _, c in want.values()})
 
 
+def test_repeated_and_missing_ids_keep_one_of_each(spark):
+    r = random.Random(8)
+    a, b, c, d, x, y = (" ".join(r.choice("abcdefghijklmnop") + r.choice("xyz") for _ in range(200)) for _ in range(6))
+
+    def near(text):
+        w = text.split()
+        for k in range(len(w)):
+            other = " ".join([*w[:k], "changed", *w[k + 1 :]])
+            if 0 < bin(plain(other) ^ plain(text)).count("1") <= 4:
+                return other
+
+    rows = [(5, a), (5, near(a)), (5, b), (3, b.upper()), (7, c), (7, c), (None, d), (9, d), (None, x), (None, near(x)), (None, x), (None, y)]
+    assert None not in [t for _, t in rows]
+    docs = spark.createDataFrame([(i, t, k, None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_tokens int, component_id string").repartition(3)
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    first = lambda t: min(t, near(t), key=lambda v: np.uint64(plain(v)).view(np.int64))
+    want = [(5, first(a)), (3, b.upper()), (7, c), (9, d), (None, first(x)), (None, y)]
+    assert sorted(((k.doc_id, k.text) for k in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_forest_finds_every_pair(spark):
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 40).astype(np.uint64)
