@@ -1,10 +1,11 @@
-"""Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
+"""Toxicity by weak and direct supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Lexicons are induced from a bounded sample of labelled rows: words and beginnings of words whose odds of standing in a
 toxic text are raised beyond chance, parted into voters by kind and strength, beside small seed lists and patterns of
 punctuation. The label model estimates how often each voter votes on either class (its accuracies) by expectation
-maximisation, and the correlations of the voters within a class, by which it discounts voters that say the same. Its
-posterior labels train a logistic regression over voters and lexicon entries; a last line maps it to probabilities.
+maximisation, and the correlations of the voters within a class, by which it discounts voters that say the same; it
+starts from the known labels. The mean of its posterior and the known label trains a logistic regression over voters
+and lexicon entries; a last line, fitted on the known labels, maps it to probabilities.
 """
 
 from __future__ import annotations
