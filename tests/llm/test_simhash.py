@@ -94,19 +94,45 @@ def test_forest_finds_every_pair(spark):
     want = by_hand(list(range(len(fps))), fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     marked = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
-    got = {x.fp: (x.n_near, x.component_id) for x in simhash.near_duplicates(marked, shard_rows=50, sample_rows=300).collect()}
-    assert got == {f: want[i] for i, f in enumerate(signed)}
-
-
-def test_tiles_lose_nothing():
-    r = np.random.default_rng(6)
-    fp = np.unique(np.concatenate([r.integers(0, 2**63, 1).astype(np.uint64) ^ (np.uint64(1) << r.integers(20, 40, 300).astype(np.uint64)) for _ in range(3)]))
-    fp = np.unique(np.concatenate([fp ^ (np.uint64(1) << np.uint64(k)) for k in range(20, 30)]))
-    mask = simhash.stretches(4)
-    total = np.zeros(len(fp), np.int64)
-    for k in range(5):
-        total += simhash.links(fp, np.ones(len(fp), np.int64), np.zeros(len(fp), np.int64), False, k, mask, 4, tile=37)[0]
-    assert np.array_equal(total, (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4).sum(axis=1) - 1)
+    for parts, rows in ((3, 50), (1, 50), (5, 10), (3, 10**6)):
+        got = {x.fp: (x.n_near, x.component_id) for x in simhash.near_duplicates(marked, parts=parts, shard_rows=rows, least_sample=300).collect()}
+        assert got == {f: want[i] for i, f in enumerate(signed)}
+
+
+def clustered(n=3, size=300, seed=6):
+    r = np.random.default_rng(seed)
+    one = np.uint64(1)
+    fp = np.concatenate([r.integers(0, 2**63, 1).astype(np.uint64) ^ (one << r.integers(20, 40, size).astype(np.uint64)) for _ in range(n)] + [r.integers(0, 2**63, 500).astype(np.uint64)])
+    return np.unique(np.concatenate([fp, *[fp ^ (one << np.uint64(k)) for k in range(20, 30)]]))
+
+
+def test_walks_lose_nothing():
+    fp = clustered()
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    every = np.ones(len(fp), bool)
+    for parts in (1, 2, 3, 5):
+        masks = simhash.stretches(parts)
+        assert sum(masks) == 2**64 - 1
+        got = np.zeros_like(near, int)
+        for k in range(parts):
+            for i, j, _ in simhash.pairs_within(fp, np.flatnonzero(every), np.flatnonzero(every), k, masks, 4, leaf=7, tile=500):
+                np.add.at(got, (i, j), 1)
+        assert np.array_equal(got, near & ~np.eye(len(fp), dtype=bool))
+
+
+def test_shards_overlap_just_enough():
+    fp = clustered(2, 100)
+    for parts in (1, 3):
+        for mask in simhash.stretches(parts):
+            tree = simhash.build_tree(np.random.default_rng(1).permutation(fp)[:200], mask, 20)
+            row, leaf, home = simhash.route(fp, mask, tree, 4 // parts)
+            assert np.array_equal(np.sort(row[home]), np.arange(len(fp))) and len(set(zip(row, leaf))) == len(row) and len(set(leaf)) > 3
+            own = np.empty(len(fp), int)
+            own[row[home]] = leaf[home]
+            seen = np.zeros((len(fp), leaf.max() + 1), bool)
+            seen[row, leaf] = True
+            i, j = np.nonzero(np.bitwise_count((fp[:, None] ^ fp[None, :]) & np.uint64(mask)) <= 4 // parts)
+            assert seen[i, own[j]].all() and not seen.all()
 
 
 def test_components_both_ways(spark):
