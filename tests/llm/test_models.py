@@ -122,12 +122,144 @@ def test_features_see_neighbours_only_inside_a_text():
     assert np.array_equal(a[0], b[0])
 
 
-def test_label_model_discounts_copies():
+def test_label_model_sees_through_copies():
     r = np.random.default_rng(1)
     y = r.random(4000) < 0.3
     flip = lambda p: np.where(r.random(4000) < p, ~y, y).astype(float)
-    one, copied = [flip(0.1), flip(0.15), flip(0.2)], flip(0.3)
-    votes = np.stack([*one, *[copied] * 6], axis=1)
+    copied = flip(0.3)
+    copies = [np.where(r.random(4000) < 0.02, 1 - copied, copied) for _ in range(6)]
+    votes = np.stack([flip(0.1), flip(0.15), flip(0.2), flip(0.2), flip(0.15), *copies], axis=1)
     model = toxicity.LabelModel()
-    q = model.fit(votes, y)
-    assert ((q > 0.5) == y).mean() > 0.93 and model.share[3:].max() < 0.3 < model.share[:3].min()
+    q = model.fit(votes, votes[:, :6].mean(axis=1))
+    assert ((q > 0.5) == y).mean() > 0.93
+    # the copies hang together, and their rates are found without labels
+    assert all(model.parent[k] in range(5, 11) or k in model.parent[5:11] for k in range(6, 11))
+    assert np.allclose(model.rate[1][[0, 5]], [0.9, 0.7], atol=0.06) and np.allclose(model.rate[0][[0, 5]], [0.1, 0.3], atol=0.06)
+
+
+def by_hand_posterior(model, v):
+    """P(toxic | votes) from the tree's own table of joint chances, one row and one vote at a time."""
+    each = []
+    for c in (0, 1):
+        p = np.exp(model.prior[c])
+        for k, up in enumerate(model.parent):
+            rate = model.rate[c][k] if up < 0 else (model.given_yes if v[up] else model.given_no)[c][k]
+            p *= rate if v[k] else 1 - rate
+        each.append(p)
+    return each[1] / sum(each)
+
+
+def test_expectation_maximisation_by_hand():
+    r = np.random.default_rng(4)
+    votes = (r.random((60, 5)) < 0.4).astype(float)
+    start = np.clip(votes.mean(axis=1), 0.01, 0.99)
+    model = toxicity.LabelModel()
+    got = model.fit(votes, start, rounds=1)
+    w = np.stack([1 - start, start])
+    for c in (0, 1):
+        total = w[c].sum()
+        assert np.isclose(model.prior[c], np.log((total + 1) / 62))
+        for k, up in enumerate(model.parent):
+            one = sum(w[c][i] for i in range(60) if votes[i, k])
+            rate = (one + 0.5) / (total + 1)
+            assert np.isclose(model.rate[c][k], rate)
+            if up >= 0:
+                for given, value in ((model.given_yes, 1), (model.given_no, 0)):
+                    rows = [i for i in range(60) if votes[i, up] == value]
+                    assert np.isclose(given[c][k], (sum(w[c][i] for i in rows if votes[i, k]) + 4 * rate) / (sum(w[c][i] for i in rows) + 4))
+    assert np.allclose(got, [by_hand_posterior(model, v) for v in votes])
+    # the tree is the best of all trees
+    gain = np.zeros((5, 5))
+    for a in range(5):
+        for b in range(5):
+            for c in (0, 1):
+                for x in (0, 1):
+                    for y in (0, 1):
+                        joint = sum(w[c][i] for i in range(60) if votes[i, a] == x and votes[i, b] == y)
+                        px, py = sum(w[c][i] for i in range(60) if votes[i, a] == x), sum(w[c][i] for i in range(60) if votes[i, b] == y)
+                        gain[a, b] += joint * np.log(joint * w[c].sum() / (px * py)) if joint else 0.0
+    from itertools import product
+
+    def whole(parents):
+        return all(any(k == 0 for k in trail(parents, n)) for n in range(1, 5))
+
+    def trail(parents, n):
+        for _ in range(5):
+            n = parents[n]
+            yield n
+            if n == 0:
+                return
+
+    best = max((sum(gain[k, p[k]] for k in range(1, 5)), p) for p in ((-1, *q) for q in product(range(5), repeat=4)) if whole(p))
+    assert np.isclose(best[0], sum(gain[k, up] for k, up in enumerate(model.parent) if up >= 0))
+
+
+def test_gradient_by_differences():
+    r = np.random.default_rng(7)
+    model = toxicity.Toxicity({f"w{k}": (k, k) for k in range(6)})
+    model.bias, model.dense, model.sparse = 0.3, r.normal(size=3), r.normal(size=6)
+    dense, row, entry, count = r.normal(size=(9, 3)), np.array([0, 0, 2, 5, 8]), np.array([1, 3, 1, 0, 5]), np.array([1.0, 2, 1, 4, 1])
+    target, weight = r.random(9), 1 + r.random(9)
+
+    def likelihood(x):
+        model.bias, model.dense, model.sparse = x[0], x[1:4], x[4:]
+        p = toxicity.sigmoid(model.margin(dense, row, entry, count))
+        return (weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum() / weight.sum()
+
+    x = np.concatenate([[model.bias], model.dense, model.sparse])
+    want = [(likelihood(x + e) - likelihood(x - e)) / 2e-5 for e in 1e-5 * np.eye(10)]
+    likelihood(x)
+    assert np.allclose(model.gradient(target, weight, dense, row, entry, count), want, atol=1e-6)
+
+
+def test_votes_by_hand():
+    lexicon = {"wfoolish": (1, 0), "4fool": (4 + 2, 1), "5nasty": (8, 2)}
+    texts = [*[t or "" for t in ODD], "Foolish fool! foolhardy.", "idiot " + "word " * 500, "nastyish nastyness, trottel IDIOTEN " + "x " * 199, "!!! ??? ***", "fool " * 2 + "x " * 198, "fool " * 2 + "x " * 199]
+    votes, dense, row, entry, count = toxicity.Voters(lexicon).read(texts)
+    for i, text in enumerate(texts):
+        words = toxicity.WORD.findall(text.lower())
+        n = max(1, len(text.split()))
+        hits, entries = np.zeros(toxicity.N_LEXICON), {}
+        for w in words:
+            for key in {"w" + w, *(f"{k}{w[:k]}" for k in (4, 5, 6) if len(w) > k)}:
+                if key in lexicon:
+                    hits[lexicon[key][0]] += 1
+                    entries[lexicon[key][1]] = entries.get(lexicon[key][1], 0) + 1
+        seeds = [any(w in words_of.split() for w in words) for words_of in toxicity.SEEDS.values()]
+        last = {w: k for k, words_of in enumerate(toxicity.SEEDS.values()) for w in words_of.split()}  # a word in several lists is of the last
+        seeds = [any(last.get(w) == k for w in words) for k in range(4)]
+        size = max(1, len(text))
+        marks = [text.count("!") / size > 0.02, text.count("?") / size > 0.02, text.count("*") / size > 0.02, "!!!" in text]
+        want = [*(h >= 1 and 200 * h >= n for h in hits), *(h >= 2 and 100 * h >= n for h in hits), *seeds, *marks]
+        assert votes[i].tolist() == [float(x) for x in want], text[:40]
+        assert dict(zip(entry[row == i].tolist(), count[row == i].tolist())) == entries
+
+
+def test_induction_by_hand(spark, tables):
+    rows, docs, labels = tables
+    model = toxicity.train(docs, labels)
+    # the labelled rows outside the held-out fold, as plain sets
+    seen = [(t, y) for i, (t, _, y) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5]
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id is not None}
+    assert len(seen) >= len([i for i in known if i < len(rows) and zlib.crc32(str(i).encode()) % 5]) - 1
+    n1 = sum(y for _, y in seen)
+    n0 = len(seen) - n1
+    found = {}
+    for t, y in seen:
+        for k in {k for w in toxicity.words_of(t) for k in toxicity.keys_of(w)}:
+            found.setdefault(k, [0, 0])[y] += 1
+    want = set()
+    for k, (b, a) in found.items():
+        both, total = a + b, n0 + n1
+        expect = (both * n1 / total, both * n0 / total)
+        g = 2 * (a * np.log(a / expect[0]) if a else 0.0) + 2 * (b * np.log(b / expect[1]) if b else 0.0)
+        if a > expect[0] and g >= 25:
+            want.add(k)
+    assert set(model.voters.lexicon) == want
+
+
+def test_known_labels_do_not_reach_the_fit():
+    """Only votes and features come in."""
+    import inspect
+
+    assert list(inspect.signature(toxicity.Toxicity.fit).parameters) == ["self", "votes", "dense", "row", "entry", "count", "rounds"]
