@@ -14,12 +14,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from lumenpass.llm.common import small_batches, written
 
-PACKED = "bin_id string, doc_id long, piece int, start long, n_tokens long, source string, bin_tokens long"
-
-
 def best_fit(pieces: list[tuple[int, object, object]], capacity: int, per_source: int = 2) -> list[int]:
     """The bin of each (tokens, source, cluster), longest first, none over ``capacity``.
 
@@ -57,47 +56,72 @@ def best_fit(pieces: list[tuple[int, object, object]], capacity: int, per_source
     return out
 
 
+#: Equal rows are counted, and dealt out again in runs of so many.
+RUN = 4096
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, equal ones numbered from 0: a function of the rows alone, however they are partitioned.
+
+    Equal rows are counted with a partial aggregation, so that any number of them is no task's burden.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias(name))
+    runs = F.explode(F.sequence(F.lit(0), F.floor((F.col(name) - 1) / RUN)))
+    cut = counted.withColumn(f"{name}_run", runs)
+    of_run = F.sequence(F.lit(0), F.least(F.lit(RUN), F.col(name) - F.col(f"{name}_run") * RUN).cast("int") - 1)
+    return cut.withColumn(f"{name}_in", F.explode(of_run)).select(*rows.columns, (F.col(f"{name}_run") * RUN + F.col(f"{name}_in")).alias(name))
+
+
 def pack(lengths: DataFrame, capacity: int = 4096, per_source: int = 2, shard_rows: int = 8192, id_col: str = "doc_id") -> DataFrame:
     """Bins of ``lengths`` (id, n_tokens, source, cluster): a row for each piece, with its bin and the bin's fill.
 
     A sequence over ``capacity`` is cut into full pieces, each a bin of its own, and a rest that is packed; one without
-    tokens gives one empty piece, so every row of the input appears. Rows are dealt to shards of about ``shard_rows``
-    by hash, which also spreads hot sources and clusters, and each shard is packed by itself: only its last bins stay
-    unfilled. Nulls in source or cluster never conflict; repeated rows are packed each; an empty table gives no rows.
+    tokens (or with a null count) gives one empty piece, so every row of the input appears, under its id of whatever
+    type. Rows are dealt to shards of about ``shard_rows`` by the hash of the id and of their number among equal rows,
+    which also spreads hot sources, clusters and ids; each shard is packed by itself, in an order of its rows' values,
+    so the bins depend on the rows alone. Only a shard's last bins stay unfilled. Nulls in source or cluster never
+    conflict; repeated rows are packed each; an empty table gives no rows; other columns are not read.
     """
     spark = lengths.sparkSession
     small_batches(spark)
-    slim = written(lengths.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster")), "lengths")
+    kind = lengths.schema[id_col].dataType
+    slim = written(lengths.select(F.col(id_col).alias("id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster")), "lengths")
     shards = max(1, -(-slim.count() // shard_rows))
-    # the row's place in the written table tells equal rows apart
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(11)), F.lit(shards)))
+    dealt = numbered(slim, "nth").withColumn("shard", F.pmod(F.xxhash64("id", "nth", F.lit(11)), F.lit(shards)))
+    out = StructType([StructField("bin_id", StringType()), StructField(id_col, kind), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("n_tokens", LongType()), StructField("source", StringType()), StructField("bin_tokens", LongType())])
+    target = to_arrow_schema(out)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        rows = sorted(zip(*[table[c].to_pylist() for c in ("doc_id", "n", "source", "cluster")]), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3] or 0))
-        pieces = [(d, k, k * capacity, min(capacity, n - k * capacity), s, c) for d, n, s, c in rows for k in range(max(1, -(-n // capacity)))]
+        order = sorted(zip(*[table[c].to_pylist() for c in ("id", "n", "source", "cluster")]), key=lambda r: [(x is not None, x) if x is not None else (False,) for x in r])
+        pieces = [(d, k, k * capacity, min(capacity, n - k * capacity), s, c) for d, n, s, c in order for k in range(max(1, -(-n // capacity)))]
         # full pieces are alone in their bins, so only the rest is searched for
         rest = [p for p in pieces if p[3] < capacity]
         bins = best_fit([(p[3], p[4], p[5]) for p in rest], capacity, per_source)
         used = Counter()
         for p, b in zip(rest, bins):
             used[b] += p[3]
-        out = [(f"{shard}-{b}", *p[:5], used[b]) for p, b in zip(rest, bins)]
+        rows = [(f"{shard}-{b}", *p[:5], used[b]) for p, b in zip(rest, bins)]
         full = [p for p in pieces if p[3] == capacity]
-        out += [(f"{shard}-f{k}", *p[:5], capacity) for k, p in enumerate(full)]
-        names = ["bin_id", "doc_id", "piece", "start", "n_tokens", "source", "bin_tokens"]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
+        rows += [(f"{shard}-f{k}", *p[:5], capacity) for k, p in enumerate(full)]
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
 
-    return dealt.groupBy("shard").applyInArrow(run, PACKED)
+    return dealt.groupBy("shard").applyInArrow(run, out)
 
 
 def measured(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fold: bool = True) -> DataFrame:
-    """(id, n_tokens, source, cluster) of whole texts, in one pass: token count and the hash of the case-folded text."""
+    """(id, n_tokens, source, cluster) of whole texts, in one pass: token count and the hash of the case-folded text.
+
+    A null text counts as empty, and empty texts are one cluster. The id keeps its type; a table without a source
+    column has null sources; other columns are not read; repeated rows each give a row, an empty table none.
+    """
     from lumenpass.llm.token_counts import piece_counter
 
     small_batches(df.sparkSession)
-    slim = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lower(F.coalesce(F.col(text_col), F.lit(""))) if fold else F.col(text_col)).alias("cluster"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = F.col(source_col) if source_col in df.columns else F.lit(None)
+    slim = df.select(F.col(id_col).alias(id_col), text.alias("__text"), source.cast("string").alias("source"), F.xxhash64(F.lower(text) if fold else text).alias("cluster"))
+    out = StructType([slim.schema[id_col], StructField("n_tokens", LongType()), StructField("source", StringType()), StructField("cluster", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(path)
@@ -105,9 +129,12 @@ def measured(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             n = counter.count(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), b.column(3)], names=[id_col, "n_tokens", "source", "cluster"])
 
-    return slim.mapInArrow(run, f"{id_col} long, n_tokens long, source string, cluster long")
+    return slim.mapInArrow(run, out)
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 4096, per_source: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pack whole documents by their token counts; copies (texts equal but for case) never share a bin."""
+    """Pack whole documents by their token counts; copies (texts equal but for case) never share a bin.
+
+    What becomes of nulls, empty and very long texts, repeated rows and empty tables is said by ``measured`` and ``pack``.
+    """
     return pack(measured(df, path, id_col, text_col, source_col), capacity, per_source, id_col=id_col)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter
@@ -154,3 +155,18 @@ def test_equal_rows_spread_over_shards(spark):
     assert len(got) == 3000 and len({r.bin_id for r in got}) == 3000
     sizes = Counter(r.bin_id.split("-")[0] for r in got)
     assert len(sizes) == 10 and max(sizes.values()) < 400
+
+
+def test_bins_depend_on_the_rows_alone(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(r.choice([None, r.randint(1, 400)]), r.randint(0, 90), r.choice(["a", "b", None]), r.choice([None, r.randint(0, 50)])) for _ in range(900)] + [(7, 5, "a", None)] * 40 + [(None, None, None, None)] * 23
+    lengths = spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster long")
+    text_ids = lengths.selectExpr("concat('d', doc_id) name", "n_tokens", "source", "cluster", "1 as piece", "2 as nth")
+    results = []
+    for n, run in ((2, 4096), (7, 4096), (5, 3)):
+        monkeypatch.setattr(packing, "RUN", run)
+        results.append(Counter(packing.pack(lengths.repartition(n), capacity=64, shard_rows=200).collect()))
+        named = packing.pack(text_ids.repartition(n), capacity=64, shard_rows=200, id_col="name")
+        assert named.columns[1] == "name" and Counter(x.name for x in named.where("piece = 0").collect()) == Counter(f"d{i}" if i is not None else None for i, *_ in rows)
+    assert results[0] == results[1] == results[2]
+    assert Counter(x.doc_id for x in results[0].elements() if x.piece == 0) == Counter(i for i, *_ in rows)
