@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenpass.llm.common import local_path, small_batches, work_path
+from lumenpass.llm.common import local_path, small_batches, work_path, written
 
 MAGIC = b"PFORIDS1"
 BLOCK = 128
@@ -355,19 +355,24 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
-def write_files(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_in_file: int = 4_000_000) -> list[tuple[str, int, int]]:
+FILES = "part int, seq int, file string, n_docs long, n_ids long"
+
+
+def write_files(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_in_file: int = 4_000_000) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write files in ascending id order.
 
     Rows are range-partitioned and sorted by id, so each task writes one run of files; a file is closed at
     ``ids_in_file`` ids. A file's name holds only its place, and it is renamed when whole, so a task that runs again
-    after a loss writes the same file. Returns (file, documents, ids) in order. Null ids come first, null texts are
-    empty, rows with equal ids are ordered by their text's hash.
+    after a loss writes the same file. Returns the table of files (part, seq, file, n_docs, n_ids), itself written to
+    the shared folder. Null ids come first, null texts are empty, rows with equal ids are ordered by their text's hash;
+    ranges may part rows of one id, so no id is one task's burden. Other columns are not read.
     """
     spark = df.sparkSession
     small_batches(spark)
-    slim = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    slim = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.col(text_col)).alias("__hash")).withColumn("__row", F.monotonically_increasing_id())
+    key = [F.col("__id").asc_nulls_first(), F.col("__hash")]
     # as many ranges as spark.sql.shuffle.partitions says; adaptive execution joins small neighbours
-    ranged = slim.repartitionByRange(F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.xxhash64("__text"))
+    ranged = slim.repartitionByRange(*key, F.col("__row")).sortWithinPartitions(*key).select("__id", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, done = TaskContext.get().partitionId(), byte_encoder(path), 0
@@ -387,7 +392,7 @@ def write_files(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
                 if not store.get_file_info(f"{base}/{name}").is_file:
                     raise
                 store.delete_file(own)
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([n_held], pa.int64())], names=["file", "n_docs", "n_ids"])
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([done], pa.int32()), pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([n_held], pa.int64())], names=["part", "seq", "file", "n_docs", "n_ids"])
             docs, counts, held, n_held, done = [], [], [], 0, done + 1
             return row
 
@@ -411,20 +416,26 @@ def write_files(df: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
         if docs:
             yield close()
 
-    rows = ranged.mapInArrow(run, "file string, n_docs long, n_ids long").collect()  # one row for each file
-    return sorted((r[0], r[1], r[2]) for r in rows)
+    return written(ranged.mapInArrow(run, FILES), "token-file-list")
+
+
+def with_starts(files: DataFrame) -> DataFrame:
+    """(file, start): how many ids all files before one hold.
+
+    Sums run within a task's files and over one row for each task, so no task sees all files and the driver none.
+    """
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range partition
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = files.withColumn("inner", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return within.join(parts, "part").select("file", (F.col("base") + F.col("inner")).alias("start"))
 
 
-def read_files(spark, folder: str, files: list[tuple[str, int, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+def read_files(files: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, from the files alone; each task reads many files, one by one."""
     schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long"
-    starts, total = [], 0
-    for name, _, n in files:
-        starts.append((name, total))
-        total += n
-    if not files:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(starts, "file string, start long").repartition(len(starts), "file")
+    listed = with_starts(files).repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = local_path(folder)
@@ -442,6 +453,9 @@ def read_files(spark, folder: str, files: list[tuple[str, int, int]], id_col: st
 
 
 def token_id_table(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Files written to the shared folder and read back: a row for each document (see ``write_files``)."""
+    """Files written to the shared folder and read back: a row for each document (see ``write_files``).
+
+    Repeated rows and rows without an id each have a row; an empty table gives none.
+    """
     folder = work_path(df.sparkSession, "token-ids")
-    return read_files(df.sparkSession, folder, write_files(df, path, folder, id_col=id_col, text_col=text_col), id_col)
+    return read_files(write_files(df, path, folder, id_col=id_col, text_col=text_col), folder, id_col)

@@ -120,8 +120,8 @@ def test_token_files(spark):
 
     folder = work_path(spark, "t")
     files = token_files.write_files(docs, path, folder, ids_in_file=700)
-    assert len(files) > 3
-    got = {r[0]: tuple(r[1:]) for r in token_files.read_files(spark, folder, files).collect()}
+    assert files.count() > 3
+    got = {r[0]: tuple(r[1:]) for r in token_files.read_files(files, folder).collect()}
     start = 0
     for i, t in enumerate(TEXTS):
         ids = library.encode(t or "", add_special_tokens=False).ids + [0]
@@ -130,3 +130,30 @@ def test_token_files(spark):
     assert token_files.token_id_table(docs.limit(0), path).count() == 0
     null = docs.selectExpr("cast(null as long) doc_id", "text").limit(3)
     assert token_files.token_id_table(null.union(null), path).count() == 6
+
+
+def test_starts_of_many_files(spark):
+    r = np.random.default_rng(2)
+    n = 100_000
+    part = np.sort(r.integers(0, 300, n))
+    seq = np.arange(n) - np.searchsorted(part, part)
+    size = r.integers(0, 4_000_000, n)
+    files = spark.createDataFrame([(int(p), int(s), f"{p}-{s}", 1, int(k)) for p, s, k in zip(part, seq, size)], token_files.FILES).repartition(5)
+    starts = token_files.with_starts(files)
+    assert {x.file: x.start for x in starts.collect()} == {f"{p}-{s}": int(a) for p, s, a in zip(part, seq, np.cumsum(size) - size)}
+    assert token_files.with_starts(files.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_may_part(spark):
+    docs = spark.range(4000).selectExpr("7L doc_id", "cast(id % 3 as string) text").repartition(4)
+    from lumenpass.llm.common import work_path
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = work_path(spark, "t")
+        files = token_files.write_files(docs, P.path("byte_bpe_50k.json"), folder)
+        assert files.select("part").distinct().count() > 1
+        starts = [x.start for x in token_files.read_files(files, folder).orderBy("start").collect()]
+        assert starts == list(range(0, 8000, 2))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
