@@ -10,6 +10,7 @@ home of the second), none is lost, and the sample that the centroids are fitted
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,31 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return c
 
 
-def cells(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_cells(x: np.ndarray, k: int) -> np.ndarray:
+    """k centroids or a few less; beyond 256 in two levels, so that the work grows with the root of k."""
+    if k <= 256:
+        return spherical_kmeans(x, k)
+    top = spherical_kmeans(x, isqrt(k))
+    own = np.concatenate([(x[a : a + 8192] @ top.T).argmax(axis=1) for a in range(0, len(x), 8192)])
+    order = np.argsort(own, kind="stable")
+    parts = np.split(order, np.searchsorted(own[order], np.arange(1, len(top))))
+    return np.concatenate([spherical_kmeans(x[p], max(1, round(k * len(p) / len(x)))) for p in parts if len(p)])
+
+
+def cells(x: np.ndarray, c: np.ndarray, cosine: float, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, is home) of unit vectors: the home cell and those where a partner may live."""
-    s = x @ c.T
-    home = s.argmax(axis=1)
-    gap = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(c @ c.T, -1, 1)))
     sine = np.sqrt(1 - cosine * cosine) if cosine > 0 else 1.0
-    near = s[np.arange(len(x)), home][:, None] - s <= sine * gap[home] + 1e-9
-    near[np.arange(len(x)), home] = True
-    row, cell = np.nonzero(near)
-    return row, cell, home[row] == cell
+    out = []
+    for a in range(0, len(x), step := max(1, block // len(c))):
+        s = x[a : a + step] @ c.T
+        at = np.arange(len(s))
+        home = s.argmax(axis=1)
+        gap = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(c[home] @ c.T, -1, 1)))
+        near = s[at, home][:, None] - s <= sine * gap + 1e-9
+        near[at, home] = True
+        row, cell = np.nonzero(near)
+        out.append((a + row, cell, home[row] == cell))
+    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 def block_links(x: np.ndarray, ids: np.ndarray, is_query: np.ndarray, is_home: np.ndarray, weight: np.ndarray, cosine: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +92,16 @@ def block_links(x: np.ndarray, ids: np.ndarray, is_query: np.ndarray, is_home: n
     return total, root
 
 
-def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 16384, cell_rows: int = 2048, block_rows: int = 2048, max_cells: int = 2048) -> DataFrame:
+def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least_sample: int = 16384, cell_rows: int = 2048, block_rows: int = 2048) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
     Vectors of equal, non-null label and equal length link when their cosine in double precision reaches ``cosine``.
     Null, empty or zero vectors and those with null or non-finite components link with nothing. Repeated rows are
     further vectors. A row without an id links like any other but never names a component; its ``kept`` is false.
-    An empty table gives an empty result. ``cell_rows`` is the aimed size of a cell within the largest label; a cell
-    beyond ``block_rows`` (a hot label, a group of thousands) is cut into salted parts, compared pairwise in tasks of
-    their own.
+    An empty table gives an empty result; other columns are not read. ``cell_rows`` is the aimed size of a cell within
+    the largest label; where that asks for more cells than the root of the label's size (beyond 4 M vectors) there are
+    so many, and 8 vectors for each in the sample they are fitted on, so both grow with the label. A cell beyond
+    ``block_rows`` (a hot label, a group of thousands) is cut into salted parts, compared pairwise in tasks of their own.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -100,10 +117,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     kind = np.float32 if single else np.float64  # floats travel as such and are computed with as doubles
     centroids = {}
     for dim, n in sizes:
-        sample = copies.where(F.size("__v") == dim).orderBy(F.xxhash64("__v")).limit(sample_rows).select("__v").toArrow()
-        x = np.array(sample.column(0).to_pylist(), np.float64)
-        x = unit(x)
-        centroids[dim] = spherical_kmeans(x, min(max_cells, max(1, len(x) // 8), max(1, n // cell_rows)))
+        k = max(1, min(n // cell_rows, max(2048, isqrt(n))))
+        sample = copies.where(F.size("__v") == dim).orderBy(F.xxhash64("__v")).limit(max(least_sample, 8 * k)).select("__v").toArrow()
+        x = unit(np.stack([v.values.to_numpy() for v in sample.column(0)]))
+        centroids[dim] = fit_cells(x, min(k, max(1, len(x) // 8)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

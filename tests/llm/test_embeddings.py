@@ -89,3 +89,20 @@ def test_cells_lose_no_partner():
     own = dict(zip(row[home].tolist(), cell[home].tolist()))
     a, b = np.nonzero(x @ x.T >= 0.93)
     assert all((i, own[j]) in there for i, j in zip(a.tolist(), b.tolist()))
+
+
+def test_many_cells_in_two_levels():
+    r = np.random.default_rng(4)
+    x = embeddings.unit(np.repeat(r.normal(size=(800, 8)), 6, axis=0) + 0.05 * r.normal(size=(4800, 8)))
+    c = embeddings.fit_cells(x, 600)
+    assert 500 < len(c) < 700 and np.allclose(np.linalg.norm(c, axis=1), 1)
+    whole, blocks = embeddings.cells(x, c, 0.93), embeddings.cells(x, c, 0.93, block=5000)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, blocks))
+    row, cell, home = whole
+    own = np.empty(len(x), int)
+    own[row[home]] = cell[home]
+    seen = np.zeros((len(x), len(c)), bool)
+    seen[row, cell] = True
+    i, j = np.nonzero(x @ x.T >= 0.93)
+    assert seen[i, own[j]].all() and seen.mean() < 0.9
+    assert len(embeddings.cells(x[:0], c, 0.93)[0]) == 0
