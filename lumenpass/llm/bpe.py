@@ -88,14 +88,20 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
+#: Longer keys aren't remembered, so that a memory's size is bounded in bytes too.
+LONGEST = 128
+
+
 class Memory(dict):
-    """What ``make`` gives for a key, kept while there is room."""
+    """What ``make`` gives for a key (a text), kept while there is room and if it isn't long."""
 
     def __init__(self, make, room: int = MEMORY):
         super().__init__()
         self.make, self.room = make, room
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.room:
             self.clear()
         value = self[key] = self.make(key)

@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from lumenpass.llm.bpe import LONGEST
 from lumenpass.llm.common import per_text
 
 NONE = np.int32(1 << 30)
@@ -160,7 +161,11 @@ class PieceCounter:
             fresh = list(new)
             self.memory.update(zip(fresh, self.merged(fresh).tolist()))
         get = self.memory.__getitem__
-        return [sum(map(get, u)) for u in units]
+        counts = [sum(map(get, u)) for u in units]
+        for u in new:
+            if len(u) > LONGEST:  # not remembered, so that the memory is bounded in bytes too
+                del self.memory[u]
+        return counts
 
 
 @lru_cache(maxsize=4)
