@@ -9,28 +9,58 @@ from lumenpass.functions import text as T
 from lumenpass.options import TfidfOptions
 
 
-def _field(passages: DataFrame, text: Column, weight: float, key: str) -> DataFrame:
-    tokens = passages.select(key, T.term_matches(text).alias("tokens"))
-    terms = tokens.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
-    return terms.groupBy(key, "term").agg((F.lit(weight) * F.count("*") / F.first("n")).alias("tf"))
+def _starts(items: Column, same) -> Column:
+    """Positions (from 1) in a sorted array where a run of items that are the ``same`` begins."""
+    at = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(F.array().cast("array<int>"))
+    return F.filter(at, lambda i: (i == 1) | ~same(F.get(items, i - 1), F.get(items, i - 2)))
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, n>> of an array of terms: sorted, and runs counted, within the row."""
+
+    def runs(s: Column) -> Column:
+        return T.let(_starts(s, lambda a, b: a == b), lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s) + 1) - i).alias("n"))))
+
+    return T.let(F.sort_array(tokens), runs)
+
+
+def _field(text: Column, weight: float) -> Column:
+    def weighted(tokens: Column) -> Column:
+        n = F.size(tokens)
+        return F.transform(term_counts(tokens), lambda c: F.struct(c["term"].alias("term"), (F.lit(weight) * c["n"] / n).alias("tf")))
+
+    return T.let(T.term_matches(text), weighted)
+
+
+def _merged(both: Column) -> Column:
+    """Entries of two fields, sorted by term: those of one term, at most two, become their sum."""
+
+    def join(s: Column) -> Column:
+        def entry(i: Column) -> Column:
+            own, other = F.get(s, i - 1), F.get(s, i)
+            more = F.when(other["term"] == own["term"], other["tf"]).otherwise(0.0)
+            return F.struct(own["term"].alias("term"), (own["tf"] + F.coalesce(more, F.lit(0.0))).alias("tf"))
+
+        return F.transform(_starts(s, lambda a, b: a["term"] == b["term"]), entry)
+
+    return T.let(F.sort_array(both), join)
 
 
 def postings(passages: DataFrame, options: TfidfOptions = TfidfOptions(), key: str = "ordinal") -> DataFrame:
     """(ordinal, term, tf): weighted relative frequencies over raw text and keywords; a field of weight 0 has none.
 
-    Counting is partial on the map side; the only shuffle is by (passage, term).
+    All terms of a passage are in its row, so they are counted there: no shuffle.
     """
     o = options.sane()
-    parts = []
+    fields = []
     if o.text_weight > 0:
-        parts.append(_field(passages, F.col("text"), o.text_weight, key))
+        fields.append(_field(F.col("text"), o.text_weight))
     if o.keyword_weight > 0 and "keywords" in passages.columns:
-        parts.append(_field(passages, F.array_join("keywords", " "), o.keyword_weight, key))
-    if not parts:
+        fields.append(_field(F.array_join("keywords", " "), o.keyword_weight))
+    if not fields:
         return passages.select(key, F.lit("").alias("term"), F.lit(0.0).alias("tf")).limit(0)
-    if len(parts) == 1:
-        return parts[0]
-    return parts[0].unionByName(parts[1]).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    entries = fields[0] if len(fields) == 1 else _merged(F.concat(*fields))
+    return passages.select(key, F.explode(entries).alias("p")).select(key, "p.term", "p.tf")
 
 
 def idf(passage_count: Column, df: Column) -> Column:

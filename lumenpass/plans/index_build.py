@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import is_dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Window
@@ -11,22 +12,26 @@ from pyspark.sql import functions as F
 from lumenpass.functions import text as T
 from lumenpass.operators import chunking, keywords, tfidf
 from lumenpass.operators.search import Index
-from lumenpass.options import ChunkOptions, KeywordOptions, TfidfOptions
+from lumenpass.options import ChunkOptions, IndexingOptions, KeywordOptions, TfidfOptions
+from lumenpass.sources.work import written
 
 
-def with_ordinals(passages: DataFrame, order: tuple[str, ...] = ("source_id", "index")) -> DataFrame:
-    """Passages numbered from 0 without gaps in the given order.
+def with_ordinals(passages: DataFrame, order: tuple[str, ...] = ("source_id", "index"), store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """Passages numbered from 0 without gaps in the given order; equal keys are ordered by the hash of the whole row.
 
-    Rows are range-partitioned and numbered within their partition; the partitions' sizes, one number each, are summed
-    up and joined back, so no task sees all rows.
+    Rows are range-partitioned, sorted and written once with their place in their partition; the partitions' sizes, one
+    number each, are taken from what was written, summed up and joined back, so no task sees all rows and both uses see
+    the same partitions.
     """
-    # a stated number of ranges: adaptive execution must not join them differently for the two uses
-    n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = passages.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = local.groupBy("__p").agg(F.count("*").alias("n"))
+    plain = [c for c in passages.columns if not passages.schema[c].dataType.simpleString().startswith("map")]
+    keyed = passages.withColumn("__h", F.xxhash64(*plain))
+    ranged = keyed.repartitionByRange(*order, "__h").sortWithinPartitions(*order, "__h")
+    # the partition in the upper bits, the row's number in it in the lower 33
+    placed = store(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranged").withColumn("__p", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("n"))
     before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"))  # a row for each partition
-    return local.join(F.broadcast(before), "__p").withColumn("ordinal", (F.col("__before") + F.col("__k") - 1).cast("long")).drop("__p", "__k", "__before")
+    ordinal = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "__p").withColumn("ordinal", ordinal.cast("long")).drop("__p", "__at", "__h", "__before")
 
 
 class Cancelled(Exception):
@@ -40,18 +45,19 @@ def from_passages(
     keyword_options: KeywordOptions = KeywordOptions(),
     chunk_options: ChunkOptions = ChunkOptions(),
     embedding_dim: int = 64,
-    store: Callable[[DataFrame, str], DataFrame] | None = None,
+    store: Callable[[DataFrame, str], DataFrame] = written,
+    indexing: IndexingOptions | None = None,
     progress: Callable[[int, int, str], None] | None = None,
     cancelled: Callable[[], bool] | None = None,
 ) -> Index:
     """Keywords, context keywords, ordinals, vectors of the contextual text, TF-IDF tables.
 
-    ``store`` writes a table under a name and reads it, so that tables used twice aren't computed twice; without it they
-    are persisted. ``progress`` is told (stages done, stages, name); ``cancelled`` is asked between stages, and running
-    jobs can be ended by the caller's job group.
+    ``store`` writes a table under a name and reads it, so that tables used twice aren't computed twice; the default
+    writes to the shared folder. ``progress`` is told (stages done, stages, name); ``cancelled`` is asked between stages,
+    and running jobs can be ended by the caller's job group. ``indexing``, if given, says how many texts an encoder takes at once (if it has a
+    ``batch_size``) and how many encoding tasks there are; without it there is one for each partition of the passages.
     """
     stages = ("keywords", "passages", "vectors", "postings", "terms")
-    keep = store or (lambda df, name: df.persist())
 
     def step(done: int) -> None:
         if cancelled and cancelled():
@@ -62,15 +68,22 @@ def from_passages(
     step(0)
     enriched = keywords.add_context(keywords.elaborate(passages, keyword_options))
     step(1)
-    context = with_ordinals(enriched).withColumn("context", T.contextual_text())
-    table = keep(context.withColumn("terms", T.terms("context")), "passages")
+    context = enriched.withColumn("context", T.contextual_text())
+    # the ordinals are a join with one row for each partition: cheaper than writing the texts once more
+    table = with_ordinals(context.withColumn("terms", T.terms("context")), store=store)
     step(2)
-    vectors = keep(encoder.encode_documents(table), "vectors")
+    texts = table
+    if indexing:
+        o = indexing.sane()
+        texts = table.repartition(o.parallelism)
+        if is_dataclass(encoder) and hasattr(encoder, "batch_size"):
+            encoder = replace(encoder, batch_size=o.batch_size)
+    vectors = store(encoder.encode_documents(texts), "vectors")
     step(3)
-    posted = keep(tfidf.postings(table, tfidf_options), "postings")
+    posted = store(tfidf.postings(table, tfidf_options), "postings")
     step(4)
     count, average = tfidf.meta(table, tfidf_options).first()
-    found = keep(tfidf.terms(posted, count), "terms")
+    found = store(tfidf.terms(posted, count), "terms")
     step(5)
     return Index(table, vectors, posted, found, count, average, embedding_dim, chunk_options, tfidf_options, datetime.now(UTC).isoformat())
 

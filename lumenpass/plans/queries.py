@@ -75,8 +75,8 @@ def s_box(key: str) -> str:
 @query(f"SELECT doc_id, term, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({s_terms('text')}) AS term FROM documents) GROUP BY ALL")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every document with their counts."""
-    exploded = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.term_matches("text")).alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.explode(tfidf.term_counts(T.term_matches("text"))).alias("c"))
+    return counted.select("doc_id", "c.term", F.col("c.n").cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({s_terms('text')})), ' ') AS terms, len({s_terms('text')})::BIGINT AS n_terms FROM documents")
@@ -342,15 +342,16 @@ def _index(spark: SparkSession, sf_dir: str) -> search.Index:
     """Documents as passages; document p owns the embeddings whose id leaves p, as token vectors in id order."""
     docs = _indexed(spark, sf_dir)
     n = docs.count()
-    posted = tfidf.postings(docs).persist()  # read twice: for the vocabulary and for the scores
+    posted = tfidf.postings(docs)
     v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).alias("ordinal"), "vec_id", "embedding")
     return search.Index(docs, encoder.pack_vectors(v, "ordinal", "vec_id", "embedding"), posted, tfidf.terms(posted, n), n)
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's vectors: the first four embeddings."""
-    first = encoder.pack_vectors(table(spark, sf_dir, "embeddings").where("vec_id < 4").withColumn("k", F.lit(0)), "k", "vec_id", "embedding")
-    return _queries(spark, sf_dir).select("query_id").join(F.broadcast(first.select("vectors")))
+    """Each query's own vectors: of n queries, query p owns the embeddings whose id leaves p."""
+    n = table(spark, sf_dir, "benchmark").count()
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).alias("query_id"), "vec_id", "embedding")
+    return encoder.pack_vectors(v, "query_id", "vec_id", "embedding")
 
 
 def s_scores(extra: str = "") -> str:
@@ -376,31 +377,43 @@ def lexical_with_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DENSE = """v AS (SELECT vec_id % (SELECT count(*) FROM documents) AS ordinal, embedding::DOUBLE[] AS e FROM embeddings),
-  m AS (SELECT ordinal, sum(best) AS dense FROM (SELECT ordinal, a.vec_id, max(list_dot_product(a.embedding::DOUBLE[], v.e)) AS best FROM v, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 4) a GROUP BY ALL) GROUP BY ordinal)"""
-_HITS = "h AS (SELECT c.*, coalesce(dense, 0.0) AS dense FROM c LEFT JOIN m USING (ordinal))"
+  a AS (SELECT vec_id % (SELECT count(*) FROM benchmark) AS query_id, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  m AS (SELECT query_id, ordinal, sum(best) AS dense FROM (SELECT a.query_id, v.ordinal, a.vec_id, max(list_dot_product(a.e, v.e)) AS best FROM v, a GROUP BY ALL) GROUP BY query_id, ordinal)"""
+_HITS = "h AS (SELECT c.*, coalesce(dense, 0.0) AS dense FROM c LEFT JOIN m USING (query_id, ordinal))"
 
 
-@query(f"WITH {_DENSE} SELECT ordinal, round(dense, 6) AS dense FROM m")
+@query(f"WITH {_DENSE} SELECT query_id, ordinal, round(dense, 6) AS dense FROM m")
 def maxsim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MaxSim of one query's vectors with all documents' vectors."""
-    n = table(spark, sf_dir, "documents").count()
-    v = table(spark, sf_dir, "embeddings")
-    docs = encoder.pack_vectors(v.select((F.col("vec_id") % n).alias("ordinal"), "vec_id", "embedding"), "ordinal", "vec_id", "embedding")
-    asked = encoder.pack_vectors(v.where("vec_id < 4").withColumn("k", F.lit(0)), "k", "vec_id", "embedding").select(F.col("vectors").alias("q"))
-    return docs.join(F.broadcast(asked)).select("ordinal", F.round(scoring.max_sim_batch("q", "vectors", 64), 6).alias("dense"))
+    """MaxSim of every stated query's vectors with all documents' vectors, in blocks of queries."""
+    index = _index(spark, sf_dir)
+    every = SearchOptions(max_results=index.passage_count, use_lexical_filter=False, use_rrf=False)
+    hits = search.query_encoded(index, _queries(spark, sf_dir), _query_vectors(spark, sf_dir), every)
+    return hits.join(index.vectors.select("ordinal"), "ordinal", "left_semi").select("query_id", "ordinal", F.round("dense", 6).alias("dense"))
 
 
 @query(
-    """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot,
-      round(sqrt(list_dot_product(list_transform(b.embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), b.embedding::DOUBLE[])), 6) AS unit
-    FROM embeddings a, embeddings b WHERE a.vec_id < 4"""
+    """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"""
 )
 def vector_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dot products and unit vectors as column expressions: four stated queries against all vectors."""
+    """Dot products of the stated queries (ids divisible by 100) with all vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vectors"))
+    blocks = search.query_blocks(asked, 64)
+    found = search.dense_scores(v.select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vectors")), blocks, asked.schema["query_id"].dataType, 64)
+    return found.select(F.col("query_id").alias("a"), F.col("ordinal").alias("b"), F.round("dense", 6).alias("dot"))
+
+
+@query(
+    """SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS dot,
+      array_to_string(list_transform(embedding, lambda x: round(1000000 * x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::BIGINT), ' ') AS unit FROM embeddings"""
+)
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot products with one stated vector, and unit vectors, as column expressions."""
     v = table(spark, sf_dir, "embeddings")
-    a, b = v.where("vec_id < 4").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    unit = scoring.l2_normalize(F.col("y").cast("array<double>"))
-    return b.join(F.broadcast(a)).select("a", "b", F.round(scoring.dot("x", "y"), 6).alias("dot"), F.round(F.sqrt(scoring.dot(unit, "y")), 6).alias("unit"))
+    first = v.where("vec_id = 0").select("embedding").first()[0]  # one row
+    unit = scoring.l2_normalize(F.col("embedding").cast("array<double>"))
+    shown = F.array_join(F.transform(unit, lambda x: F.round(x * 1000000).cast("long").cast("string")), " ")
+    return v.select("vec_id", F.round(scoring.dot("embedding", F.array(*map(F.lit, first))), 6).alias("dot"), shown.alias("unit"))
 
 
 _RRF = """f AS (SELECT *, 1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, pos)) + 0.15 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, pos)) AS score FROM h),
@@ -458,11 +471,37 @@ def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.source_inventory(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("display_name"), (F.col("s_acctbal") > 0).alias("enabled")))
 
 
-@query(f"SELECT doc_id AS ordinal, row_number() OVER (ORDER BY source, doc_id) - 1 AS k, length('Document: PDF: ' || doc_id) AS n FROM documents")
+@query("SELECT doc_id AS ordinal, row_number() OVER (ORDER BY source, doc_id) - 1 AS k, length('Document: PDF: ' || doc_id) AS n, md5(text) AS digest FROM documents")
 def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers without gaps in a global order, no task seeing all rows."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return index_build.with_ordinals(d, ("source", "doc_id")).select(F.col("doc_id").alias("ordinal"), F.col("ordinal").alias("k"), F.length(F.concat(F.lit("Document: PDF: "), F.col("doc_id").cast("string"))).cast("long").alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    numbered = index_build.with_ordinals(d, ("source", "doc_id"))
+    return numbered.select(F.col("doc_id").alias("ordinal"), F.col("ordinal").alias("k"), F.length(F.concat(F.lit("Document: PDF: "), F.col("doc_id").cast("string"))).cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+_CLEANED = "list_transform(list_filter(list_zip(x, range(1, len(x) + 1)), lambda p: list_position(list_transform(x, lambda y: lower(y)), lower(p[1])) = p[2]), lambda p: p[1])"
+
+
+@query(
+    f"""WITH k AS (SELECT doc_id, text, {_CLEANED} AS keywords FROM (SELECT doc_id, text, {_KEYWORDS} AS x FROM ({_PASSAGE_SQL}))),
+    o AS (SELECT *, row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS ordinal FROM k),
+    f AS (SELECT ordinal, 1.0::DOUBLE AS w, {s_terms("text")} AS x FROM o UNION ALL SELECT ordinal, 3.0::DOUBLE, {s_terms("array_to_string(keywords, ' ')")} FROM o),
+    p AS (SELECT ordinal, term, sum(tf) AS tf FROM (SELECT ordinal, term, any_value(w) * count(*) / any_value(n) AS tf FROM (SELECT ordinal, w, len(x) AS n, unnest(x) AS term FROM f) GROUP BY ordinal, w, term) GROUP BY ordinal, term),
+    t AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM p GROUP BY term),
+    v AS (SELECT vec_id % (SELECT count(*) FROM documents) AS ordinal, count(*) AS n FROM embeddings GROUP BY 1)
+    SELECT p.ordinal, doc_id, length(text)::BIGINT AS n_chars, len(keywords)::BIGINT AS n_keywords, term, round(tf, 9) AS tf, round(idf, 9) AS idf, coalesce(v.n, 0)::BIGINT AS n_vectors FROM p JOIN t USING (term) JOIN o USING (ordinal) LEFT JOIN v USING (ordinal)"""
+)
+def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's main path: passages with keywords, ordinals, vectors, postings and vocabulary, read from the index."""
+    placed = _passages(spark, sf_dir)
+    n = placed.count()
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).cast("long").alias("ordinal"), "vec_id", "embedding")
+    given = encoder.GivenVectors(documents=encoder.pack_vectors(v, "ordinal", "vec_id", "embedding"))
+    index = index_build.from_passages(placed.drop("doc_id"), given)
+    sizes = index.vectors.select("ordinal", F.size("vectors").alias("n"))
+    own = index.passages.select("ordinal", F.col("source_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.size("keywords").cast("long").alias("n_keywords"))
+    posted = index.postings.join(index.terms.select("term", "idf"), "term").join(own, "ordinal").join(sizes, "ordinal", "left")
+    return posted.select("ordinal", "doc_id", "n_chars", "n_keywords", "term", F.round("tf", 9).alias("tf"), F.round("idf", 9).alias("idf"), (F.coalesce("n", F.lit(0)) / 64).cast("long").alias("n_vectors"))
 
 
 # Geometry: boxes made from lineitem
@@ -693,18 +732,18 @@ def page_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS (SELECT label, list(embedding ORDER BY vec_id)[1:5] AS d FROM embeddings GROUP BY label), q AS (SELECT list(embedding ORDER BY vec_id) AS q FROM embeddings WHERE vec_id < 4)
-    SELECT label, round(list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))), 6) AS dense,
-      round(1.0 * list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_dot_product(a::DOUBLE[], b::DOUBLE[]))))) + 0.15 * label, 6) AS score FROM v, q"""
+    """WITH d AS (SELECT vec_id % (SELECT count(*) // 8 FROM embeddings) AS g, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id % (SELECT count(*) // 8 FROM embeddings) AS g, vec_id, list_reverse(embedding)::DOUBLE[] AS e FROM embeddings WHERE vec_id // (SELECT count(*) // 8 FROM embeddings) % 2 = 0)
+    SELECT g, round(sum(best), 6) AS dense, round(sum(best) + 0.15 * g, 6) AS score FROM (SELECT g, vec_id, max(list_dot_product(q.e, d.e)) AS best FROM d JOIN q USING (g) GROUP BY g, vec_id) GROUP BY g"""
 )
 def maxsim_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MaxSim as a column expression over small sets of vectors, and the weighted sum."""
+    """MaxSim as a column expression over small sets (all vectors in sets of eight, half of each reversed as a query), and the weighted sum."""
     v = table(spark, sf_dir, "embeddings")
-    ordered = lambda df: F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
-    d = v.groupBy("label").agg(F.slice(ordered(v), 1, 5).alias("d"))
-    q = v.where("vec_id < 4").agg(ordered(v).alias("q"))
-    scored = d.join(F.broadcast(q)).select("label", scoring.max_sim("q", "d").alias("dense"))
-    return scored.select("label", F.round("dense", 6).alias("dense"), F.round(scoring.combined_score("dense", "label", 1.0, 0.15), 6).alias("score"))
+    n = v.count() // 8
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["embedding"])
+    item = F.struct("vec_id", "embedding")
+    sets = v.groupBy((F.col("vec_id") % n).alias("g")).agg(ordered(item).alias("d"), ordered(F.when(F.floor(F.col("vec_id") / n) % 2 == 0, item)).alias("q"))
+    scored = sets.where(F.size("q") > 0).select("g", scoring.max_sim(F.transform("q", F.reverse), "d").alias("dense"))
+    return scored.select("g", F.round("dense", 6).alias("dense"), F.round(scoring.combined_score("dense", "g", 1.0, 0.15), 6).alias("score"))
 
 
 @query("SELECT p_partkey, true AS valid, p_partkey % 7 + 1 AS cut_width, sha256(unhex(repeat('0a141e', 12))) AS resized FROM part")
@@ -721,12 +760,9 @@ def image_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["hybrid_rrf"])
 def persisted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship over an index that was saved to the shared folder and loaded again."""
-    import tempfile
-    import uuid
-
     from lumenpass.sources import index_store
+    from lumenpass.sources.work import work_path
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenpass-index-")
-    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = work_path(spark, "index")
     index_store.save(_index(spark, sf_dir), path)
     return _rounded(search.query_encoded(index_store.load(spark, path), _queries(spark, sf_dir), _query_vectors(spark, sf_dir), digits=9))

@@ -256,3 +256,47 @@ def test_encoder(tmp_path):
     c = encoder.load_config(str(file))
     assert (c.query_length, c.embedding_dim, c.lower_case, c.skip_words) == (9, 64, False, ("a", "b")) and encoder.load_config(None) == EncoderConfig()
     assert encoder.read_merges({"merges": ["a b", ["c", "d"], [1], "e f"]}) == ["a b", "c d", "e f"]
+
+
+def test_ordinals_of_many_rows(spark):
+    rows = spark.range(0, 10_000, 1, 7).selectExpr("cast(id % 37 as string) source_id", "cast(id as int) `index`", "repeat(md5(cast(id as string)), 30) text", "array(cast(id as string)) keywords")
+    got = index_build.with_ordinals(rows.unionByName(rows.where("`index` < 50"))).select("source_id", "index", "ordinal").collect()
+    assert sorted(r.ordinal for r in got) == list(range(10_050))
+    keys = [(r.source_id, r["index"]) for r in sorted(got, key=lambda r: r.ordinal)]
+    assert keys == sorted(keys)
+    assert index_build.with_ordinals(rows.limit(0)).count() == 0
+
+
+def test_plans_move_little(spark):
+    rows = [(str(k), f"apple topic {k} text") for k in range(40)]
+    df = passages(spark, rows).withColumn("ordinal", F.col("index").cast("long"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(tfidf.postings(df))
+    i = index_of(spark, rows)
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "query_id int, vectors array<float>")
+    asked = q.selectExpr("query_id", "'apple' query")
+    for o in (SearchOptions(use_lexical_filter=False), SearchOptions(), SearchOptions(use_lexical_filter=False, use_rrf=False)):
+        assert "NestedLoop" not in plan(search.query_encoded(i, asked, q, o)) and "Cartesian" not in plan(search.query_encoded(i, asked, q, o))
+
+
+def test_max_sim_of_sets():
+    r = np.random.default_rng(2)
+    sets = lambda n: [None if r.random() < 0.2 else r.normal(size=(r.integers(0, 6), 3)) for _ in range(n)]
+    q, d = sets(7), sets(50)
+    q[0], d[3] = np.full((2, 3), np.nan), np.array([[np.nan, 1, 1], [1.0, 2, 3]])
+    got = scoring.max_sim_all(scoring.Sets([None if x is None else x.ravel() for x in q], 3), scoring.Sets([None if x is None else x.ravel() for x in d], 3), room=40)
+    none = np.zeros((0, 3))
+    assert np.allclose(got, [[scoring.max_sim_of(none if a is None else a, none if b is None else b) for b in d] for a in q])
+    assert scoring.max_sim_all(scoring.Sets([], 3), scoring.Sets(d[:0], 3)).shape == (0, 0)
+
+
+def test_queries_in_blocks(spark):
+    r = np.random.default_rng(5)
+    i = index_of(spark, [(str(k), "apple text") for k in range(30)], r.normal(size=(30, 2)).tolist())
+    q = spark.createDataFrame([(k, r.normal(size=4).tolist() if k % 3 else None) for k in range(9)], "query_id long, vectors array<float>")
+    for room in (64, 1 << 20):
+        blocks = search.query_blocks(q, 2, room)
+        assert len(blocks) == (3 if room == 64 else 1) and [x for ids, _ in blocks for x in ids] == list(range(9))
+        got = {(x.query_id, x.ordinal): x.dense for x in search.dense_scores(i.vectors, blocks, q.schema["query_id"].dataType, 2).collect()}
+        want = {(a.query_id, b.ordinal): scoring.max_sim_of(np.array(a.vectors or []).reshape(-1, 2), np.array(b.vectors).reshape(-1, 2)) for a in q.collect() for b in i.vectors.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
