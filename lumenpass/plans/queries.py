@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lumenpass.functions import geometry as G
 from lumenpass.functions import text as T
 from lumenpass.operators import assembly, cells, chunking, encoder, keywords, markdown, scoring, search, tfidf
-from lumenpass.options import CHECKLIST_PHRASES, HEADING_TERMS, ROLES, TERM, ChunkOptions, KeywordOptions, SearchOptions
-from lumenpass.plans import index_build, render
+from lumenpass.options import HEADING_TERMS, ROLES, ChunkOptions, KeywordOptions, SearchOptions
+from lumenpass.plans import index_build, render, sql
+from lumenpass.plans.sql import S_ROLE, s_list, s_name, s_norm, s_strip, s_terms, s_windows
 from lumenpass.sources import bundle, docjson, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,37 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return documents.spread(df, "doc_id") if name == "documents" else df
 
 
-# SQL pieces
-
-
-def s_norm(x: str) -> str:
-    joined = rf"regexp_replace(coalesce({x}, ''), '(\p{{L}})-\s+(\p{{Ll}})', '\1\2', 'g')"
-    return rf"trim(regexp_replace({joined}, '\s+', ' ', 'g'))"
-
-
-def s_terms(x: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({x}, '')), '{TERM}')"
-
-
-def s_strip(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(trim({x}), ':+$', ''), '^\s*(?:[0-9]+(?:\.[0-9]+)*|[IVXLCDM]+(?:\.[0-9]+)*)\.?\s+', '', 'i'))"
-
-
-def s_name(x: str) -> str:
-    return f"lower({s_norm(s_strip(x))})"
-
-
-def s_list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def s_windows(x: str, size: int = 1800, overlap: int = 250, least: int = 20) -> str:
-    """(n, t) rows of a normalized text column in FROM."""
-    step = size - overlap
-    return f"""(SELECT g AS idx, trim(substr({x}, (g * {step} + 1)::BIGINT, {size})) AS txt
-      FROM (SELECT unnest(range(0, CASE WHEN length({x}) = 0 THEN 0 ELSE (length({x}) - 1) // {step} + 1 END)) AS g))"""
-
-
 def s_box(key: str) -> str:
     """Boxes made from rows of lineitem; the same arithmetic as ``boxes``."""
     return f"(l_{key} % 97)::DOUBLE"
@@ -157,10 +127,7 @@ def _paths() -> F.Column:
     return out.otherwise(T.array_of(["Paper", "NeurIPS Paper Checklist"]))
 
 
-_CHECK = " OR ".join(f"contains(t, '{p}')" for p in CHECKLIST_PHRASES)
-_ROLE = f"""CASE WHEN {_CHECK} OR list_has_any(names, ['neurips paper checklist', 'genai usage disclosure']) THEN 'submission_checklist' WHEN list_contains(names, 'abstract') THEN 'abstract'
-  WHEN len(list_filter(names, lambda n: starts_with(n, 'references') OR starts_with(n, 'bibliography'))) > 0 THEN 'references'
-  WHEN len(list_filter(names, lambda n: starts_with(n, 'appendix'))) > 0 THEN 'appendix' WHEN len(names) > 0 THEN 'main_body' ELSE 'unknown' END"""
+_ROLE = S_ROLE
 
 
 @query(f"SELECT doc_id, {_ROLE} AS role FROM (SELECT doc_id, lower({s_norm('text')}) AS t, list_transform({_PATHS}, lambda p: {s_name('p')}) AS names FROM documents)")
@@ -201,19 +168,19 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(key.alias("id"), key.alias("display_name"), key.alias("location"), lines.alias("blocks"), "text")
 
 
-@query()
+@query(sql.PACK_BLOCKS)
 def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed into chunks with an overlap of whole lines."""
     return _blocks(spark, sf_dir).select("id", F.posexplode(chunking.chunk_blocks("blocks", ChunkOptions(600, 120, 1))).alias("k", "text"))
 
 
-@query()
+@query(sql.PASSAGES_FROM_BLOCKS)
 def passages_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by likely headings, packed, bounded and given roles."""
     return chunking.passages_from_blocks(_blocks(spark, sf_dir)).select("source_id", "index", "text", F.array_join("section_path", " > ").alias("path"), "content_role")
 
 
-@query()
+@query(sql.CHUNK_SECTIONED_BLOCKS)
 def chunk_sectioned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("id", F.posexplode(chunking.chunk_sectioned_blocks("blocks")).alias("k", "text"))
 
@@ -232,10 +199,19 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "heading", F.array_join("blocks", "\n").alias("body"))
 
 
-@query()
+@query(sql.MARKDOWN_SECTIONS)
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents read as Markdown."""
-    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.sections("text")).alias("k", "s"))
+    """Documents dressed up as Markdown (headings, lists, tables, fences, front matter), read as such."""
+    front = F.when(F.col("doc_id") % 4 == 0, "---\nkey: value\n---\n").otherwise("")
+
+    def dress(x: F.Column, k: F.Column) -> F.Column:
+        i = k + 1
+        say = lambda a, b="": F.concat(F.lit(a), x, F.lit(b))
+        out = F.when(i % 9 == 3, say("## ")).when(i % 9 == 5, say("### **", "** #")).when(i % 9 == 8, say("# [", "](y)")).when(i % 11 == 6, say("- ")).when(i % 11 == 7, say("  more "))
+        return out.when(i % 13 == 9, say("| ", " |")).when((i % 17 == 10) | (i % 17 == 13), "```").when(i % 5 == 4, "").when(i % 7 == 2, say("\t", "  ")).otherwise(x)
+
+    text = F.concat(front, F.array_join(F.transform(F.split("text", "\n"), dress), "\n"))
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.sections(text)).alias("k", "s"))
     return placed.select("doc_id", "k", F.col("s.heading").alias("heading"), F.array_join("s.blocks", "\n").alias("body"))
 
 
@@ -603,7 +579,7 @@ def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.array_join(docjson.validate("document"), "; ").alias("errors"))
 
 
-@query()
+@query(sql.DOCUMENT_PASSAGES)
 def document_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document trees to passages with section paths, roles, pages, captions and keywords."""
     key = F.col("doc_id").cast("string")
