@@ -23,10 +23,18 @@ def prechunked(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, S.SOURCES_PRECHUNKED)
 
 
+#: Bytes for each core up to which it is cheaper to deal a table's rows out than to leave cores idle.
+SMALL = 128 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of fewer files than there are cores, dealt out by a key; tables of many files stay as they are."""
+    """Rows of a small table in fewer files than there are cores, dealt out by a key.
+
+    Anything larger stays as it is: its scan is split by files and row groups, and no text is shuffled.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SMALL and len(df.inputFiles()) < cores else df
 
 
 def as_pdf(df: DataFrame) -> DataFrame:
