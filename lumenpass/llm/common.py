@@ -1,10 +1,8 @@
-"""Shared pieces of the training-data operators: work folder, written tables, connected components."""
+"""Shared pieces of the training-data operators: bounded batches, one pass over texts, connected components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,42 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lumenpass.sources.documents import spread
+from lumenpass.sources.work import work_path, written
 
-_OWN_FOLDER: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDER:
-        _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="lumenpass-")
-        spark.sparkContext.setCheckpointDir(_OWN_FOLDER[app])
-    return _OWN_FOLDER[app]
-
-
-_PATHS: list[str] = []
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    _PATHS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _PATHS[-1]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what operators wrote in this session's shared folder; their results can't be read any more."""
-    while _PATHS:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: cuts lineage, survives the loss of an executor."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "documents", "fresh", "local_path", "per_text", "roots_of", "small_batches", "work_path", "written"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -62,9 +27,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Bound what one Arrow batch of long texts can hold in a Python worker; smaller bounds of the caller's stay."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 32 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

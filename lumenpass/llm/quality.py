@@ -290,7 +290,11 @@ def score_table(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, scorer, text_col: str = "text", wanted: bool = True, at: float = 0.5) -> DataFrame:
-    """The rows whose score (``scorer.score(texts)``) is at least ``at`` (or below, if not ``wanted``), all columns kept."""
+    """The rows whose score (``scorer.score(texts)``) is at least ``at`` (or below, if not ``wanted``), all columns kept.
+
+    A null text is scored as empty; repeated rows share their fate; an empty table stays empty; other columns may have
+    any names and hold anything.
+    """
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 

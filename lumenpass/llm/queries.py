@@ -20,45 +20,55 @@ def vocabulary(name: str) -> str:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine links within labels over all vectors; what bad vectors, repeated rows and null ids give is said by ``embeddings.near_duplicates``."""
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every whole text; a null text is empty, an empty one has no tokens and the digests of nothing."""
     return bpe.digest_table(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, null and empty ones included; repeated rows each have one; see ``toxicity.score_table``."""
     docs = documents(spark, sf_dir)
     return toxicity.score_table(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document, read back from the files; null texts hold just the end id; see ``token_files.write_files``."""
     return token_files.token_id_table(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and links of every document; null and blank texts have fingerprint zero and link; see ``simhash.simhash_table``."""
     return simhash.simhash_table(documents(spark, sf_dir), radius=4)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bin for every piece of every document; see ``packing.pack`` for nulls, long texts and repeated rows."""
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), capacity=4096)
 
 
 def op7_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of every whole text's bytes, read back; a null text is empty and padded like any other; see ``media.text_media_table``."""
     return media.text_media_table(documents(spark, sf_dir))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the control conversation, formatted and read back; null roles and texts are empty; see ``chat.digest_conversations``."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     return chat.digest_conversations(table.unionByName(control))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text; a null or empty one has none; see ``token_counts.count_table``."""
     return token_counts.count_table(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, null and empty ones included; repeated rows each have one; see ``quality.score_table``."""
     docs = documents(spark, sf_dir)
     return quality.score_table(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 

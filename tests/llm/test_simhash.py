@@ -147,7 +147,7 @@ def test_components_both_ways(spark):
 def test_release(spark):
     import os
 
-    from lumenpass.llm import common
+    from lumenpass.sources import work as common
 
     df = common.written(spark.range(3), "t")
     path = common._PATHS[-1].removeprefix("file://")
