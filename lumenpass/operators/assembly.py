@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenpass import options as O
 from lumenpass import schemas as S
@@ -114,7 +117,9 @@ def assemble(name: str, origin: str | None, pages: list[dict], predictions: list
 
 
 PAGE_INPUTS = f"doc string, origin string, page_no int, width int, height int, pixels binary, cells array<{S.CELL}>"
+READ_PAGES = f"{PAGE_INPUTS}, error string"
 PREDICTIONS = f"doc string, page_no int, seq long, clusters array<{S.CLUSTER}>"
+GUESSES = f"{PREDICTIONS}, error string"
 
 
 def _plain(x):
@@ -133,7 +138,8 @@ def _plain(x):
 def convert_pages(pages: DataFrame, predictions: DataFrame, options: ConversionOptions = ConversionOptions(), classify: Callable | None = None) -> DataFrame:
     """(doc, document, error) from page inputs and layout predictions, one group for each document.
 
-    A document's pages are what a group holds: bounded by the longest document.
+    A document's pages are what a group holds: bounded by the longest document. What a recognizer or predictor failed
+    with (column ``error`` of either table, if there is one) is the document's error: recognition first, then by page.
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -143,30 +149,124 @@ def convert_pages(pages: DataFrame, predictions: DataFrame, options: ConversionO
         for r in rows:
             r["cells"] = r["cells"] or []
         guesses = [_plain(r) for r in right.sort_values("seq", kind="stable").to_dict("records")]
+        failed = [r["error"] for r in [*rows, *sorted(guesses, key=lambda g: g["page_no"])] if isinstance(r.get("error"), str)]
+        if failed:
+            return pd.DataFrame({"doc": [key[0]], "document": [None], "error": [failed[0]]})
         document, error = assemble(key[0], rows[0]["origin"], rows, guesses, options, classify)
         return pd.DataFrame({"doc": [key[0]], "document": [document], "error": [error]})
 
     return pages.groupBy("doc").cogroup(predictions.groupBy("doc")).applyInPandas(run, f"doc string, document {S.DOCUMENT}, error string")
 
 
+def _tried(call: Callable, args: tuple) -> tuple[list, str | None]:
+    try:
+        return call(*args), None
+    except Exception as e:  # noqa: BLE001 - a provider's failure is its page's error
+        return [], str(e) or type(e).__name__
+
+
 def predict_layout(pages: DataFrame, predictor: Callable[[int, int, int, bytes], list[dict]]) -> DataFrame:
-    """Layout predictions of page images by a user's model: predictor(page_no, width, height, RGB) gives clusters."""
+    """Layout predictions of page images by a user's model: predictor(page_no, width, height, RGB) gives clusters.
+
+    A page that it fails on has its error; pages that weren't read aren't asked for.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc": f["doc"], "page_no": f["page_no"], "seq": range(len(f)), "clusters": [predictor(*p) for p in zip(f["page_no"], f["width"], f["height"], f["pixels"])]})
+            read = f["error"].isna() if "error" in f else [True] * len(f)
+            got = [_tried(predictor, p) if ok else ([], None) for ok, *p in zip(read, f["page_no"], f["width"], f["height"], f["pixels"])]
+            yield pd.DataFrame({"doc": f["doc"], "page_no": f["page_no"], "seq": range(len(f)), "clusters": [g[0] for g in got], "error": [g[1] for g in got]})
 
-    return pages.mapInPandas(run, PREDICTIONS)
+    return pages.mapInPandas(run, GUESSES)
 
 
 def recognize_pages(pages: DataFrame, ocr: Callable[[int, int, int, bytes], list[dict]]) -> DataFrame:
-    """Page inputs with the cells that a user's recognizer reads; its exception fails the job, as it failed the call."""
+    """Page inputs with the cells that a user's recognizer reads, and its error where it fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [_tried(ocr, p) for p in zip(f["page_no"], f["width"], f["height"], f["pixels"])]
+            yield f.assign(cells=[g[0] for g in got], error=[g[1] for g in got])
+
+    return pages.select(*[c.split(" ")[0] for c in PAGE_INPUTS.split(", ")[:6]], "cells").mapInPandas(run, READ_PAGES)
+
+
+def rasterize(files: DataFrame, renderer: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Page inputs of binary files (path, content) by a user's renderer, which gives dicts of page_no, width, height, RGB
+    ``pixels`` and, if it knows any, ``cells``. A file that it refuses gives one row with the error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"]):
+                got, error = _tried(renderer, (bytes(content),))
+                name = path.rsplit("/", 1)[-1]
+                out += [(path, name, p["page_no"], p["width"], p["height"], p["pixels"], p.get("cells", []), None) for p in got]
+                if error:
+                    out.append((path, name, 0, 0, 0, b"", [], error))
+            yield pd.DataFrame(out, columns=["doc", "origin", "page_no", "width", "height", "pixels", "cells", "error"])
+
+    return files.select("path", "content").mapInPandas(run, READ_PAGES)
+
+
+@dataclass(frozen=True)
+class LayoutModel:
+    """A layout predictor: ``run`` takes an image tensor (1, 3, height, width) and gives the detector's outputs by name."""
+
+    run: Callable
+    config: images.Preprocessor = images.Preprocessor()
+    labels: dict | None = None
+    threshold: float = 0.3
+
+    def __call__(self, page_no: int, width: int, height: int, pixels: bytes) -> list[dict]:
+        x = images.to_nchw(self.config, width, height, bytes(pixels))
+        return images.detections(self.run(x[None]), width, height, self.config, self.threshold, self.labels or images.LAYOUT_LABELS)
+
+
+@dataclass(frozen=True)
+class FigureModel:
+    """A figure classifier: ``run`` takes an image tensor and gives logits by name."""
+
+    run: Callable
+    config: images.Preprocessor = images.Preprocessor()
+    labels: dict | None = None
+    top: int = 5
+
+    def __call__(self, width: int, height: int, pixels: bytes) -> list[tuple[str, float]]:
+        outputs = self.run(images.to_nchw(self.config, width, height, bytes(pixels))[None])
+        return images.classes(next(iter(outputs.values())), self.labels or {}, self.top)
+
+
+@lru_cache(maxsize=4)
+def _session(path: str):
+    import onnxruntime as ort
+
+    o = ort.SessionOptions()
+    o.intra_op_num_threads = o.inter_op_num_threads = 1
+    return ort.InferenceSession(path, o)
+
+
+@dataclass(frozen=True)
+class OnnxRun:
+    """The ``run`` of a model file that every worker can read; one session in each worker."""
+
+    path: str
+
+    def __call__(self, x):
+        session = _session(self.path)
+        return dict(zip([o.name for o in session.get_outputs()], session.run(None, {session.get_inputs()[0].name: x})))
+
+
+def classify_figures(pictures: DataFrame, model: Callable[[int, int, bytes], list[tuple[str, float]]]) -> DataFrame:
+    """``pictures`` (width, height, pixels, ...) with ``classes``, surest first, and the model's ``error`` where it fails."""
+    schema = StructType([*pictures.schema.fields, *StructType.fromDDL("classes array<struct<class_name:string,confidence:double>>, error string")])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(cells=[ocr(*p) for p in zip(f["page_no"], f["width"], f["height"], f["pixels"])])
+            got = [_tried(model, p) for p in zip(f["width"], f["height"], f["pixels"])]
+            yield f.assign(classes=[[{"class_name": n, "confidence": float(p)} for n, p in g[0]] for g in got], error=[g[1] for g in got])
 
-    return pages.mapInPandas(run, PAGE_INPUTS)
+    return pictures.mapInPandas(run, schema)
 
 
 def convert(pages: DataFrame, predictor: Callable, options: ConversionOptions = ConversionOptions(), classify: Callable | None = None, ocr: Callable | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenpass.operators.search import Index
 from lumenpass.options import ChunkOptions, TfidfOptions
-from lumenpass.sources import index_store
+from lumenpass.sources import index_store, work
 
 SCHEMA_SUFFIX = "IndexBundle"
 SCHEMA_NAME, VERSION = "Lumenpass" + SCHEMA_SUFFIX, 1
@@ -103,24 +103,22 @@ def parse(text: str) -> tuple[Manifest | None, str | None]:
     ), None
 
 
-def write_manifest(path: str, m: Manifest) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(dumps(m, indent=2))
+def write_manifest(spark: SparkSession, path: str, m: Manifest) -> None:
+    """Overwrites a file on any store; folders on the way are made."""
+    work.write_text(spark, path, dumps(m, indent=2))
 
 
-def read_manifest(path: str) -> tuple[Manifest | None, str | None]:
-    if not os.path.isfile(path):
-        return None, f"Index bundle manifest '{path}' does not exist."
-    with open(path, encoding="utf-8") as f:
-        return parse(f.read())
+def read_manifest(spark: SparkSession, path: str) -> tuple[Manifest | None, str | None]:
+    text = work.read_text(spark, path)
+    return (None, f"Index bundle manifest '{path}' does not exist.") if text is None else parse(text)
 
 
 def resolve(base: str, file: str) -> str:
-    return file if not file.strip() or os.path.isabs(file) else os.path.join(base, file)
+    """A blank, rooted or fully named file is itself; any other lies under ``base``."""
+    return file if not file.strip() or os.path.isabs(file) or "://" in file else f"{base.rstrip('/')}/{file}"
 
 
-def validate(base: str, wanted: Compatibility, m: Manifest) -> list[str]:
+def validate(spark: SparkSession, base: str, wanted: Compatibility, m: Manifest) -> list[str]:
     """Everything that is wrong with a manifest."""
     said = []
     if m.manifest_version != VERSION:
@@ -140,18 +138,18 @@ def validate(base: str, wanted: Compatibility, m: Manifest) -> list[str]:
             said.append(f"Index bundle source '{s.source_id}' source_display_name is required.")
         if not s.index_file.strip():
             said.append(f"Index bundle source '{s.source_id}' index_file is required.")
-        elif not os.path.exists(resolve(base, s.index_file)):
+        elif not work.exists(spark, resolve(base, s.index_file)):
             said.append(f"Index bundle source '{s.source_id}' index file '{s.index_file}' was not found.")
     return said
 
 
 def load_compatible(spark: SparkSession, wanted: Compatibility, path: str) -> tuple[list[tuple[BundleSource, Index]] | None, list[str]]:
     """All of a bundle's indexes, or all that is wrong with it."""
-    m, error = read_manifest(path)
+    m, error = read_manifest(spark, path)
     if error:
         return None, [error]
-    base = os.path.dirname(os.path.abspath(path))
-    if said := validate(base, wanted, m):
+    base = path.rsplit('/', 1)[0] if '/' in path else '.'
+    if said := validate(spark, base, wanted, m):
         return None, said
     out = []
     for s in m.sources:

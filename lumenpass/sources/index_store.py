@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import asdict
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenpass import schemas as S
 from lumenpass.operators.search import Index
 from lumenpass.options import ROLES, ChunkOptions, TfidfOptions
+from lumenpass.sources.work import children, exists, written
 
 TABLES = ("passages", "vectors", "postings", "terms")
 FORMAT = 1
@@ -22,10 +23,11 @@ FORMAT = 1
 
 def save(index: Index, path: str) -> None:
     """Overwrites a folder. Postings and terms are range-partitioned and sorted by term, so that a query's terms prune by
-    the files' own statistics; vectors are apart from passages, so that lexical stages never read them."""
+    the files' own statistics; a frequent term's postings may be in several ranges; vectors are apart from passages, so
+    that lexical stages never read them."""
     index.passages.write.mode("overwrite").parquet(f"{path}/passages")
     index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "ordinal").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.repartitionByRange("term", "ordinal").sortWithinPartitions("term", "ordinal").write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     facts = {"format": FORMAT, "passage_count": index.passage_count, "avg_len": index.avg_len, "embedding_dim": index.embedding_dim, "chunk_options": asdict(index.chunk_options), "tfidf_options": asdict(index.tfidf_options), "created_at": index.created_at}
     index.passages.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -39,8 +41,8 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def try_load(spark: SparkSession, path: str) -> tuple[Index | None, str | None]:
-    """(index, None), (None, None) where there is none, or (None, error). Local folders."""
-    if not os.path.isdir(os.path.join(path, "meta")):
+    """(index, None), (None, None) where there is none, or (None, error); on any store."""
+    if not exists(spark, f"{path}/meta"):
         return None, None
     try:
         return load(spark, path), None
@@ -49,11 +51,8 @@ def try_load(spark: SparkSession, path: str) -> tuple[Index | None, str | None]:
 
 
 def load_many(spark: SparkSession, folder: str) -> list[tuple[str, tuple[Index | None, str | None]]]:
-    """Every index folder right under a folder; none if it is missing."""
-    if not os.path.isdir(folder):
-        return []
-    found = [os.path.join(folder, n) for n in sorted(os.listdir(folder))]
-    return [(p, try_load(spark, p)) for p in found if os.path.isdir(os.path.join(p, "meta"))]
+    """Every index folder right under a folder of any store; none if it is missing."""
+    return [(p, try_load(spark, p)) for p in children(spark, folder) if exists(spark, f"{p}/meta")]
 
 
 class _Reader:
@@ -182,26 +181,57 @@ def encode_binary(index: dict, magic: str) -> bytes:
     return bytes(out)
 
 
-IMPORTED = f"path string, version int, ordinal int, {S.PASSAGES}, terms array<string>, {S.MULTI_VECTOR}, error string"
+IMPORTED = f"path string, version int, ordinal long, {S.PASSAGES}, terms array<string>, {S.MULTI_VECTOR}, error string"
+FACTS = "passage_count long, avg_len double, created_at_ms long, chunk struct<max_chars:int,overlap_chars:int,min_chars:int>, tfidf struct<text_weight:double,keyword_weight:double>, vocabulary array<struct<term:string,df:long,idf:double,postings:array<struct<ordinal:long,tf:double>>>>"
 
 
-def import_binary(spark: SparkSession, folder: str, glob: str = "*", magic: str | None = None) -> DataFrame:
-    """Passages and vectors of the old binary files right under a folder, a row with an error for a broken file."""
-    columns = [c.split()[0].strip("`") for c in IMPORTED.replace("array<", "").split(", ")]
+def import_files(spark: SparkSession, folder: str, glob: str = "*", magic: str | None = None) -> DataFrame:
+    """A row for each old binary file right under a folder: its passages, vocabulary and options, or an error."""
+    names = [f.split(" ", 1)[0] for f in ("path", "version", "error")]
+    passage = f"struct<{IMPORTED.split(', ', 2)[2].rsplit(', ', 1)[0]}>"
+    schema = f"path string, version int, error string, passages array<{passage}>, {FACTS}"
+    fields = spark.createDataFrame([], IMPORTED).columns[2:-1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for path, content in zip(f["path"], f["content"]):
+                row = dict.fromkeys([*names, "passages", "passage_count", "avg_len", "created_at_ms", "chunk", "tfidf", "vocabulary"])
+                row["path"] = path
                 try:
                     got = decode_binary(bytes(content), magic)
-                    out += [{"path": path, "version": got["version"], "error": None, **p} for p in got["passages"]]
+                    row |= {k: got[k] for k in ("version", "passage_count", "avg_len", "created_at_ms")}
+                    row["passages"] = [{k: p.get(k) for k in fields} for p in got["passages"]]
+                    row["chunk"], row["tfidf"] = asdict(got["chunk_options"]), asdict(got["tfidf_options"])
+                    row["vocabulary"] = [{"term": t, "df": df, "idf": idf, "postings": [{"ordinal": o, "tf": w} for o, w in posted]} for t, df, idf, posted in got["vocabulary"]]
                 except (ValueError, struct.error, IndexError) as e:
-                    out.append({"path": path, "error": f"Unable to load index '{path}': {e}"})
-            frame = pd.DataFrame(out).reindex(columns=columns)
-            for c in ("version", "ordinal", "index", "token_count", "embedding_dim"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame.astype(object).where(frame.notna(), None) if len(frame) else frame
+                    row["error"] = f"Unable to load index '{path}': {e}"
+                out.append(row)
+            frame = pd.DataFrame(out)
+            for c in ("version", "passage_count", "created_at_ms"):
+                frame[c] = frame[c].astype("Int64")
+            yield frame
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select(F.col("path"), "content").mapInPandas(run, IMPORTED)
+    return files.select(F.col("path"), "content").mapInPandas(run, schema)
+
+
+def import_binary(spark: SparkSession, folder: str, glob: str = "*", magic: str | None = None) -> DataFrame:
+    """Passages and vectors of the old binary files right under a folder, a row with an error for a broken file."""
+    read = import_files(spark, folder, glob, magic).select("path", "version", "error", F.explode_outer("passages").alias("p"))
+    return read.select("path", "version", "p.*", "error")
+
+
+def import_index(spark: SparkSession, path: str, magic: str | None = None) -> Index:
+    """One old binary file as an index that can be searched and saved: its own postings, vocabulary and options."""
+    read = written(import_files(spark, path, magic=magic), "imported")
+    facts = read.drop("passages", "vocabulary").first()  # one row of numbers
+    if facts is None or facts.error:
+        raise ValueError(facts.error if facts else f"There is no index '{path}'.")
+    passages = read.select(F.explode("passages").alias("p")).select("p.*")
+    words = read.select(F.explode("vocabulary").alias("v"))
+    postings = words.select("v.term", F.explode("v.postings").alias("e")).select("e.ordinal", "term", "e.tf")
+    dim = passages.agg(F.max("embedding_dim")).first()[0] or 64
+    created = datetime.fromtimestamp(facts.created_at_ms / 1000, UTC).isoformat()
+    kept = passages.drop("token_ids", "vectors", "token_count", "embedding_dim")
+    return Index(kept, passages.select("ordinal", "vectors"), postings, words.select("v.term", "v.df", "v.idf"), facts.passage_count, facts.avg_len, dim, ChunkOptions(**facts.chunk.asDict()), TfidfOptions(**facts.tfidf.asDict()), created)

@@ -46,3 +46,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Small files on whatever store a path names
+
+
+def _at(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, there = _at(spark, path)
+    return store.exists(there)
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Paths right under a folder, by name; none if it is missing."""
+    store, there = _at(spark, folder)
+    if not store.exists(there) or not store.getFileStatus(there).isDirectory():
+        return []
+    return sorted(f"{folder.rstrip('/')}/{s.getPath().getName()}" for s in store.listStatus(there))
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small text file; None if it is missing."""
+    store, there = _at(spark, path)
+    if not store.exists(there):
+        return None
+    opened = store.open(there)
+    try:
+        return bytes(opened.readAllBytes()).decode("utf-8")
+    finally:
+        opened.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Overwrites a small text file; folders on the way are made."""
+    store, there = _at(spark, path)
+    out = store.create(there, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

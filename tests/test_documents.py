@@ -238,17 +238,17 @@ def test_bundle(spark, tmp_path):
     index_store.save(index_build.from_sources(sources, Fixed(), embedding_dim=2), str(tmp_path / "one"))
     m = bundle.Manifest("b", "1", "model", sources=(bundle.BundleSource("a", "A", None, None, "one"),))
     path = str(tmp_path / "m.json")
-    bundle.write_manifest(path, m)
-    got, error = bundle.read_manifest(path)
+    bundle.write_manifest(spark, path, m)
+    got, error = bundle.read_manifest(spark, path)
     assert error is None and got == m
     loaded, said = bundle.load_compatible(spark, bundle.Compatibility("model"), path)
     assert said == [] and bundle.all_passages(loaded).first().bundle_source_id == "a"
     loaded, said = bundle.load_compatible(spark, bundle.Compatibility("other"), path)
     assert loaded is None and "model_id" in said[0]
-    assert len(bundle.validate(str(tmp_path), bundle.Compatibility("m", ChunkOptions(1, 1, 1)), bundle.Manifest("", "", "", manifest_version=2, sources=(bundle.BundleSource("", "", None, None, ""), bundle.BundleSource("x", "X", None, None, "gone"))))) == 9
+    assert len(bundle.validate(spark, str(tmp_path), bundle.Compatibility("m", ChunkOptions(1, 1, 1)), bundle.Manifest("", "", "", manifest_version=2, sources=(bundle.BundleSource("", "", None, None, ""), bundle.BundleSource("x", "X", None, None, "gone"))))) == 9
     old, _ = bundle.parse('{"schemaName": "SomeIndexBundle", "modelId": "m", "createdAt": "bad", "sources": [{"id": "q", "displayName": "Q", "indexFile": "f"}, 3]}')
     assert old.model_id == "m" and old.created_at == bundle.NEVER and [s.source_id for s in old.sources] == ["q", "source-1"]
-    assert "missing" in bundle.parse("{}")[1] and "does not exist" in bundle.read_manifest(str(tmp_path / "no"))[1] and "Unable" in bundle.parse("{")[1]
+    assert "missing" in bundle.parse("{}")[1] and "does not exist" in bundle.read_manifest(spark, str(tmp_path / "no"))[1] and "Unable" in bundle.parse("{")[1]
 
 
 def test_catalog(tmp_path):
@@ -279,3 +279,33 @@ def test_spread(spark, tmp_path):
     spark.range(100).repartition(8).write.mode("overwrite").parquet(path)
     df = spark.read.parquet(path)
     assert documents.spread(df, "id") is df
+
+
+def test_failures_are_rows(spark):
+    p, guess = full_page()
+    rows = [(d, None, 1, 100, 100, bytearray(p["pixels"]), p["cells"]) for d in ("good", "unread", "unseen")] + [("unread", None, 2, 100, 100, bytearray(p["pixels"]), [])]
+    pages = spark.createDataFrame([(d, o, n, w, h, x[:-3] + d[:3].encode(), c) for d, o, n, w, h, x, c in rows], assembly.PAGE_INPUTS)
+    clusters = guess["clusters"]
+
+    def ocr(no, w, h, px):
+        if bytes(px[-3:]) == b"unr" and no == 2:
+            raise RuntimeError("can't read")
+        return [cell("Read", 10, 20, 30, 26)]
+
+    def layout(no, w, h, px):
+        if bytes(px[-3:]) == b"uns":
+            raise ValueError
+        return clusters
+
+    pages = pages.withColumn("pixels", F.when(F.col("doc") == "unseen", F.concat(F.substring("pixels", 1, 29997), F.lit(b"uns"))).otherwise(F.col("pixels")))
+    got = {x.doc: (x.document is not None, x.error) for x in assembly.convert(pages, layout, ocr=ocr).collect()}
+    assert got == {"good": (True, None), "unread": (False, "can't read"), "unseen": (False, "ValueError")}
+    files = spark.createDataFrame([("/a/x.pdf", bytearray(b"ok")), ("/a/y.pdf", bytearray(b"bad"))], "path string, content binary")
+
+    def render(data):
+        if data == b"bad":
+            raise ValueError("no page")
+        return [{"page_no": 1, "width": 2, "height": 1, "pixels": b"123456"}]
+
+    made = {x.doc: (x.origin, x.page_no, bytes(x.pixels), x.error) for x in assembly.rasterize(files, render).collect()}
+    assert made == {"/a/x.pdf": ("x.pdf", 1, b"123456", None), "/a/y.pdf": ("y.pdf", 0, b"", "no page")}

@@ -171,6 +171,15 @@ def test_binary_import(spark, tmp_path, version):
     (tmp_path / "b.idx").write_bytes(b"\x03bad\x00\x00\x00\x00")
     rows = index_store.import_binary(spark, str(tmp_path)).collect()
     assert sorted((r.source_id or "", r.error is None) for r in rows) == [("", False), ("s", True)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.idx").write_bytes(raw)
+    made = index_store.import_index(spark, str(tmp_path / "one"))
+    assert [tuple(x) for x in made.postings.collect()] == [(0, "system", 0.5)] and tuple(made.terms.first()) == ("system", 1, 1.0) and made.tfidf_options == got["tfidf_options"]
+    q = ask(spark, "system")
+    found = search.query_encoded(made, q, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vectors array<float>")).collect()
+    assert [(x.ordinal, x.dense, x.lexical) for x in found] == [(0, 1.0, 0.5)] and made.created_at.startswith("1970-01-01T00:00:01")
+    index_store.save(made, str(tmp_path / "saved"))
+    assert index_store.load(spark, str(tmp_path / "saved")).passages.first().text == p["text"]
 
 
 def old_version(index, version):
@@ -249,8 +258,9 @@ def test_encoder(tmp_path):
         return Model()(ids, mask)[0]
 
     assert encoder.encode_batch(alone, t, encoder.DOCUMENT, ["Hi, you.", "x"])[0] == got[0]
-    with pytest.raises(ValueError):
-        encoder.vectors_of(np.zeros((1, 16, 3)), [(ids, mask)], encoder.DOCUMENT, t)
+    for shape in ((1, 16, 3), (1, 17, 4)):
+        with pytest.raises(ValueError):
+            encoder.vectors_of(np.zeros(shape), [(ids, mask)], encoder.DOCUMENT, t)
     file = tmp_path / "c.json"
     file.write_text(json.dumps({"query_length": 9, "embedding_dim": "x", "do_lower_case": False, "skiplist_words": ["b", "a"]}))
     c = encoder.load_config(str(file))
