@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,28 +10,10 @@ from lumenpass.functions import text as T
 from lumenpass.operators import assembly, cells, chunking, encoder, keywords, markdown, scoring, search, tfidf
 from lumenpass.options import HEADING_TERMS, ROLES, ChunkOptions, KeywordOptions, SearchOptions
 from lumenpass.plans import index_build, render, sql
+from lumenpass.plans.registry import ORACLE_SQL, QUERIES, query, table
 from lumenpass.plans.sql import S_ROLE, s_list, s_name, s_norm, s_strip, s_terms, s_windows
 from lumenpass.sources import bundle, docjson, documents
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return documents.spread(df, "doc_id") if name == "documents" else df
-
-
 def s_box(key: str) -> str:
     """Boxes made from rows of lineitem; the same arithmetic as ``boxes``."""
     return f"(l_{key} % 97)::DOUBLE"
@@ -199,9 +179,8 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "heading", F.array_join("blocks", "\n").alias("body"))
 
 
-@query(sql.MARKDOWN_SECTIONS)
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dressed up as Markdown (headings, lists, tables, fences, front matter), read as such."""
+def dressed() -> F.Column:
+    """Documents dressed up as Markdown: headings, lists, tables, fences, front matter."""
     front = F.when(F.col("doc_id") % 4 == 0, "---\nkey: value\n---\n").otherwise("")
 
     def dress(x: F.Column, k: F.Column) -> F.Column:
@@ -210,8 +189,13 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = F.when(i % 9 == 3, say("## ")).when(i % 9 == 5, say("### **", "** #")).when(i % 9 == 8, say("# [", "](y)")).when(i % 11 == 6, say("- ")).when(i % 11 == 7, say("  more "))
         return out.when(i % 13 == 9, say("| ", " |")).when((i % 17 == 10) | (i % 17 == 13), "```").when(i % 5 == 4, "").when(i % 7 == 2, say("\t", "  ")).otherwise(x)
 
-    text = F.concat(front, F.array_join(F.transform(F.split("text", "\n"), dress), "\n"))
-    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.sections(text)).alias("k", "s"))
+    return F.concat(front, F.array_join(F.transform(F.split("text", "\n"), dress), "\n"))
+
+
+@query(sql.MARKDOWN_SECTIONS)
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dressed up as Markdown, read as such."""
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.sections(dressed())).alias("k", "s"))
     return placed.select("doc_id", "k", F.col("s.heading").alias("heading"), F.array_join("s.blocks", "\n").alias("body"))
 
 
@@ -742,3 +726,9 @@ def persisted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "index")
     index_store.save(_index(spark, sf_dir), path)
     return _rounded(search.query_encoded(index_store.load(spark, path), _queries(spark, sf_dir), _query_vectors(spark, sf_dir), digits=9))
+
+
+# the rest of the registry, which builds on the tables made here
+from lumenpass.plans import layout_queries, store_queries  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES", "layout_queries", "store_queries"]
