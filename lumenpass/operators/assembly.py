@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lumenpass import options as O
@@ -27,23 +30,25 @@ def _top_left(box: dict, height: float) -> dict:
     return {"l": box["l"], "t": height - box["b"], "r": box["r"], "b": height - box["t"], "coord_origin": "TOPLEFT"}
 
 
-def _takes(cluster: dict, cell: dict, threshold: float) -> bool:
-    a, c = cell, cluster
-    area = max(0.0, a["r"] - a["l"]) * max(0.0, a["b"] - a["t"])
-    w, h = min(a["r"], c["r"]) - max(a["l"], c["l"]), min(a["b"], c["b"]) - max(a["t"], c["t"])
-    share = w * h / area if area > 0 and w > 0 and h > 0 else 0.0
-    x, y = (a["l"] + a["r"]) / 2, (a["t"] + a["b"]) / 2
-    return share >= threshold or (c["l"] <= x <= c["r"] and c["t"] <= y <= c["b"])
+def _taken(cluster: dict, sides: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cells (rows l, t, r, b) a cluster takes: by their share in it, or because their centre is."""
+    left, t, r, b = sides.T
+    area = np.maximum(0.0, r - left) * np.maximum(0.0, b - t)
+    w, h = np.minimum(r, cluster["r"]) - np.maximum(left, cluster["l"]), np.minimum(b, cluster["b"]) - np.maximum(t, cluster["t"])
+    share = np.divide(w * h, area, out=np.zeros(len(sides)), where=(area > 0) & (w > 0) & (h > 0))
+    x, y = (left + r) / 2, (t + b) / 2
+    return (share >= threshold) | ((cluster["l"] <= x) & (x <= cluster["r"]) & (cluster["t"] <= y) & (y <= cluster["b"]))
 
 
 def attach(page: dict, clusters: list[dict], threshold: float) -> list[dict]:
     """A page's clusters with their cells; ids by position, whatever cells they had before."""
     height = float(page["height"])
     cells = [{**c, "bbox": _top_left(c["bbox"], height)} for c in page["cells"]]
+    sides = np.array([[c["bbox"][k] for k in "ltrb"] for c in cells], np.float64).reshape(-1, 4)
     out = []
     for k, cluster in enumerate(clusters):
         box = _top_left(cluster["bbox"], height)
-        own = sorted((c for c in cells if _takes(box, c["bbox"], threshold)), key=lambda c: (c["bbox"]["t"], c["bbox"]["l"]))
+        own = sorted((cells[i] for i in np.flatnonzero(_taken(box, sides, threshold))), key=lambda c: (c["bbox"]["t"], c["bbox"]["l"]))
         out.append({**cluster, "id": k, "bbox": box, "cells": own})
     return out
 
@@ -78,7 +83,9 @@ def assemble(name: str, origin: str | None, pages: list[dict], predictions: list
     for page in pages:
         for cluster in attach(page, by_page[page["page_no"]]["clusters"], o.cell_overlap):
             label = cluster["label"]
-            if label in O.TABLE_LIKE or label in O.PICTURE_LIKE or o.include_empty_text or cluster_text(cluster):
+            textual = label not in O.TABLE_LIKE and label not in O.PICTURE_LIKE
+            cluster["text"] = cluster_text(cluster) if textual else ""
+            if not textual or o.include_empty_text or cluster["text"]:
                 found.append((page["page_no"], cluster))
     page_of = {p["page_no"]: p for p in pages}
     items: dict[str, list[dict]] = {"texts": [], "tables": [], "pictures": []}
@@ -90,7 +97,7 @@ def assemble(name: str, origin: str | None, pages: list[dict], predictions: list
         layer = "furniture" if label in ("page_header", "page_footer") else "body"
         text, classes, extra = "", [], {}
         if kind == "texts":
-            text = cluster_text(cluster)
+            text = cluster["text"]
             label = label if label in O.TEXT_LIKE else "text"
             extra = {"text": text, "orig": text}
         elif kind == "tables":
@@ -142,20 +149,21 @@ def convert_pages(pages: DataFrame, predictions: DataFrame, options: ConversionO
     with (column ``error`` of either table, if there is one) is the document's error: recognition first, then by page.
     """
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [_plain(r) for r in left.sort_values("page_no", kind="stable").to_dict("records")]
+    schema = StructType.fromDDL(f"doc string, document {S.DOCUMENT}, error string")
+    target = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(left.to_pylist(), key=lambda r: r["page_no"])
         if not rows:
-            return pd.DataFrame({"doc": [], "document": [], "error": []})
+            return target.empty_table()
         for r in rows:
             r["cells"] = r["cells"] or []
-        guesses = [_plain(r) for r in right.sort_values("seq", kind="stable").to_dict("records")]
-        failed = [r["error"] for r in [*rows, *sorted(guesses, key=lambda g: g["page_no"])] if isinstance(r.get("error"), str)]
-        if failed:
-            return pd.DataFrame({"doc": [key[0]], "document": [None], "error": [failed[0]]})
-        document, error = assemble(key[0], rows[0]["origin"], rows, guesses, options, classify)
-        return pd.DataFrame({"doc": [key[0]], "document": [document], "error": [error]})
+        guesses = sorted(right.to_pylist(), key=lambda r: r["seq"])
+        failed = [r["error"] for r in [*rows, *sorted(guesses, key=lambda g: g["page_no"])] if r.get("error")]
+        document, error = (None, failed[0]) if failed else assemble(rows[0]["doc"], rows[0]["origin"], rows, guesses, options, classify)
+        return pa.table([pa.array([x], t.type) for x, t in zip((rows[0]["doc"], document, error), target)], schema=target)
 
-    return pages.groupBy("doc").cogroup(predictions.groupBy("doc")).applyInPandas(run, f"doc string, document {S.DOCUMENT}, error string")
+    return pages.groupBy("doc").cogroup(predictions.groupBy("doc")).applyInArrow(run, schema)
 
 
 def _tried(call: Callable, args: tuple) -> tuple[list, str | None]:
@@ -177,7 +185,8 @@ def predict_layout(pages: DataFrame, predictor: Callable[[int, int, int, bytes],
             got = [_tried(predictor, p) if ok else ([], None) for ok, *p in zip(read, f["page_no"], f["width"], f["height"], f["pixels"])]
             yield pd.DataFrame({"doc": f["doc"], "page_no": f["page_no"], "seq": range(len(f)), "clusters": [g[0] for g in got], "error": [g[1] for g in got]})
 
-    return pages.mapInPandas(run, GUESSES)
+    needed = ["doc", "page_no", "width", "height", "pixels", *(["error"] if "error" in pages.columns else [])]
+    return pages.select(*needed).mapInPandas(run, GUESSES)
 
 
 def recognize_pages(pages: DataFrame, ocr: Callable[[int, int, int, bytes], list[dict]]) -> DataFrame:
@@ -389,9 +398,19 @@ def document_chunks(document: Column | str, options: ChunkOptions = ChunkOptions
 
 
 def passages(df: DataFrame, options: ChunkOptions = ChunkOptions(), document_col: str = "document") -> DataFrame:
-    """Passages of documents (id, display_name, location, document), numbered without gaps."""
-    placed = df.select("id", "display_name", "location", F.posexplode(document_chunks(document_col, options)).alias("__k", "__b"))
-    return placed.select(
-        F.col("id").alias("source_id"), F.col("display_name").alias("source_display_name"), F.col("location").alias("source_location"), F.col("__k").alias("index"), "__b.text",
-        "__b.section_path", "__b.content_role", "__b.page_numbers", "__b.layout_labels", "__b.captions", "__b.keywords",
-    )
+    """Passages of documents (id, display_name, location, document), numbered without gaps: one fold over Arrow batches."""
+    slim = df.select("id", "display_name", "location", F.col(document_col).alias("document"))
+    kinds = [slim.schema[c].dataType.simpleString() for c in ("id", "display_name", "location")]
+    schema = StructType.fromDDL(f"source_id {kinds[0]}, source_display_name {kinds[1]}, source_location {kinds[2]}, `index` int, text string, section_path array<string>, content_role string, page_numbers array<int>, layout_labels array<string>, captions array<string>, keywords array<string>")
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [chunk_document_blocks(blocks_of(d), options) if d is not None else [] for d in b.column("document").to_pylist()]
+            at = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
+            flat = [c for f in found for c in f]
+            number = pa.array([n for f in found for n in range(len(f))], pa.int32())
+            columns = [pa.array([c[t.name] for c in flat], t.type) for t in list(target)[4:]]
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(3)], number, *columns], names=target.names)
+
+    return slim.mapInArrow(run, schema)

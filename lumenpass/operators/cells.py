@@ -77,14 +77,17 @@ def sort_clusters(clusters: list[tuple[int, dict]]) -> list[tuple[int, dict]]:
 
 def order_cells(cells: list[dict]) -> list[dict]:
     """Cells by line, then left: each cell, from the top, joins the first line whose mean top is near its own."""
-    lines: list[list[dict]] = []
+    lines: list[list] = []  # [sum of tops, sum of heights, cells]
     for cell in sorted(cells, key=lambda c: c["bbox"]["t"]):
+        t, tall = cell["bbox"]["t"], max(1.0, cell["bbox"]["b"] - cell["bbox"]["t"])
         for line in lines:
-            top = sum(c["bbox"]["t"] for c in line) / len(line)
-            tall = sum(max(1.0, c["bbox"]["b"] - c["bbox"]["t"]) for c in line) / len(line)
-            if abs(cell["bbox"]["t"] - top) <= max(3.0, 0.6 * tall):
-                line.insert(0, cell)
+            n = len(line[2])
+            if abs(t - line[0] / n) <= max(3.0, 0.6 * line[1] / n):
+                line[0] += t
+                line[1] += tall
+                line[2].append(cell)
                 break
         else:
-            lines.append([cell])
-    return [c for line in lines for c in sorted(line, key=lambda c: c["bbox"]["l"])]
+            lines.append([t, tall, [cell]])
+    # of cells with the same left side the one that came last is first
+    return [c for line in lines for c in sorted(reversed(line[2]), key=lambda c: c["bbox"]["l"])]

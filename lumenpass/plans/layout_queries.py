@@ -70,10 +70,16 @@ _LAYOUT_SQL = f"""held AS ({_NONBLANK}),
 def layout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of documents assembled from page layouts: cells to clusters, reading order, tables, classified pictures."""
     d = _layout_documents(spark, sf_dir).where("error is null").select("doc", "document.*")
-    common = ("self_ref", "label", "content_layer", "keywords", "prov", "source_display_name")
-    text, table_text, picture_text = F.col("i.text"), F.udf(lambda t: assembly.table_text(assembly._plain(t)), "string", useArrow=True)("i"), F.udf(lambda p: assembly.picture_text(assembly._plain(p)), "string", useArrow=True)("i")
-    parts = [d.select("doc", "body_children", "furniture_children", F.explode(kind).alias("i")).select("doc", "body_children", "furniture_children", *[F.col(f"i.{c}").alias(c) for c in common], said.alias("said")) for kind, said in (("texts", text), ("tables", table_text), ("pictures", picture_text))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    table_texts = F.udf(lambda ts: [assembly.table_text(t) for t in assembly._plain(ts)], "array<string>", useArrow=True)("tables")
+    picture_texts = F.udf(lambda ps: [assembly.picture_text(p) for p in assembly._plain(ps)], "array<string>", useArrow=True)("pictures")
+    texts = F.transform("texts", lambda t: t["text"])
+
+    def items(kind: str, said: str) -> Column:
+        fields = ("self_ref", "label", "content_layer", "keywords", "prov", "source_display_name")
+        return F.transform(kind, lambda i, k: F.struct(*[i[c].alias(c) for c in fields], F.get(F.col(said), k).alias("said")))
+
+    d = d.withColumns({"a": texts, "b": table_texts, "c": picture_texts})
+    every = d.select("doc", "body_children", "furniture_children", F.inline(F.concat(items("texts", "a"), items("tables", "b"), items("pictures", "c"))))
     place = F.when(F.col("content_layer") == "body", F.array_position("body_children", F.col("self_ref"))).otherwise(F.array_position("furniture_children", F.col("self_ref")))
     p = F.col("prov")[0]
     return every.select("doc", F.col("self_ref").alias("ref"), "label", F.col("content_layer").alias("layer"), place.cast("int").alias("place"), p["page_no"].alias("page_no"), p["bbox"]["t"].alias("top"), "said", F.array_join("keywords", "|").alias("keywords"), p["char_span"]["end"].alias("span"), F.col("source_display_name").alias("source"))
@@ -288,7 +294,7 @@ def detector(x) -> dict:
     """Logits and boxes as a stub: query 0 is a table over the left half if the mean is high, query 1 a caption."""
     import numpy as np
 
-    high = float(x.mean()) >= 0.5
+    high = float(x.mean()) >= 0.50013
     logits = np.full((1, 3, 17), -9.0)
     logits[0, 0, 8 if high else 6] = 2.0
     logits[0, 1, 0] = 3.0
@@ -299,15 +305,15 @@ def detector(x) -> dict:
 def figures(x) -> dict:
     import numpy as np
 
-    return {"logits": np.array([[0.0, np.log(4.0) if float(x.mean()) >= 0.5 else np.log(0.25)]])}
+    return {"logits": np.array([[0.0, np.log(4.0) if float(x.mean()) >= 0.50013 else np.log(0.25)]])}
 
 
 _MEAN = "SELECT k, w, h, avg((x * 37 + y * 59 + c * 101 + k) % 256 / 255.0) AS mean FROM (SELECT p_partkey AS k, p_partkey % 5 + 3 AS w, p_partkey % 4 + 3 AS h FROM part), LATERAL (SELECT unnest(range(0, w)) AS x), LATERAL (SELECT unnest(range(0, h)) AS y), (SELECT unnest(range(0, 3)) AS c) GROUP BY ALL"
 
 
 @query(
-    f"""SELECT k AS p_partkey, CASE WHEN mean >= 0.5 THEN 'table' ELSE 'picture' END || '|caption' AS labels, '0|1' AS ids, round(w * 0.5, 4)::DOUBLE AS right_edge, round(least(h, 4 * h / 6.0), 4)::DOUBLE AS bottom_edge, round(1 / (1 + exp(-2.0)), 6) AS sure,
-      CASE WHEN mean >= 0.5 THEN 'bar:0.8|label_0:0.2' ELSE 'label_0:0.8|bar:0.2' END AS classes FROM ({_MEAN})"""
+    f"""SELECT k AS p_partkey, CASE WHEN mean >= 0.50013 THEN 'table' ELSE 'picture' END || '|caption' AS labels, '0|1' AS ids, round(w * 0.5, 4)::DOUBLE AS right_edge, round(least(h, 4 * h / 6.0), 4)::DOUBLE AS bottom_edge, round(1 / (1 + exp(-2.0)), 6) AS sure,
+      CASE WHEN mean >= 0.50013 THEN 'bar:0.8|label_0:0.2' ELSE 'label_0:0.8|bar:0.2' END AS classes FROM ({_MEAN})"""
 )
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout model and a figure classifier (stubs) around images: tensors, outputs by name, boxes, softmax, labels."""

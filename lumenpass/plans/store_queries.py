@@ -1 +1,178 @@
-"""Registered queries on encoders, index stores and bundles."""
+"""Registered queries on encoders, index builds from sources, index stores and bundles."""
+
+from __future__ import annotations
+
+import json
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenpass.operators import encoder, search, tfidf
+from lumenpass.options import ChunkOptions, EncoderConfig, IndexingOptions, SearchOptions, TfidfOptions
+from lumenpass.plans import index_build
+from lumenpass.plans.registry import query, table
+from lumenpass.plans.sql import s_norm, s_terms, s_windows
+from lumenpass.sources import bundle, documents, index_store, work
+
+# An encoder whose tokens are bytes and whose model is a function of the token ids
+
+
+def byte_tokens() -> str:
+    """A tokenizer file's text: each byte is a token, without merges; printable bytes are themselves, others follow 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    vocab = {chr(b) if b in shown else chr(next(other)): b for b in range(256)}
+    special = [{"id": i, "content": c, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, c in ((256, "[CLS]"), (257, "[SEP]"))]
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": []}
+    split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": special, "normalizer": None, "pre_tokenizer": split, "post_processor": None, "decoder": None, "model": model})
+
+
+def remainders(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A model's stand-in, which takes at most three texts at once."""
+    if len(ids) > 3:
+        raise ValueError("too many texts")
+    return np.stack([ids % 7, ids % 5, ids % 3, np.ones_like(ids)], axis=2).astype(np.float32)
+
+
+CONFIG = EncoderConfig(query_length=16, document_length=64, embedding_dim=4, pad_id=258, mask_id=258, query_prefix_id=259, document_prefix_id=260)
+
+
+def byte_encoder(batch_size: int = 4) -> encoder.ModelEncoder:
+    return encoder.ModelEncoder(remainders, byte_tokens(), CONFIG, batch_size)
+
+
+def s_tokens(text: str, prefix: int, body: int) -> str:
+    """Token ids of a text: class, prefix, bytes, separator."""
+    raw = f"hex(encode(lower(nfc_normalize({text}))))"
+    return f"[256, {prefix}] || list_transform(range(0, least({body}, length({raw}) // 2)), lambda i: ('0x' || substr({raw}, (2 * i + 1)::BIGINT, 2))::INT) || [257]"
+
+
+_SKIP = "list_contains([" + ", ".join(str(ord(c)) for c in CONFIG.skip_words) + "], x)"
+_ENCODED = f"""SELECT kind, id, len(ids)::INT AS token_count, list_sum(ids)::BIGINT AS ids,
+  list_sum(list_transform(ids, lambda x: round(10000 * (x % 7) / sqrt((x % 7) * (x % 7) + (x % 5) * (x % 5) + (x % 3) * (x % 3) + 1))))::BIGINT AS first, list_sum(list_transform(ids, lambda x: round(10000 / sqrt((x % 7) * (x % 7) + (x % 5) * (x % 5) + (x % 3) * (x % 3) + 1))))::BIGINT AS last
+  FROM (SELECT 'document' AS kind, doc_id AS id, list_filter({s_tokens("text", 260, 61)}, lambda x: NOT {_SKIP}) AS ids FROM documents UNION ALL SELECT 'query', item_id, {s_tokens("text", 259, 13)} FROM benchmark)"""
+
+
+@query(_ENCODED)
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and queries encoded: tokens with prefixes, cut and padded, skipped punctuation, unit vectors, refused batches."""
+    e = byte_encoder()
+    docs = e.encode_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("context"))).withColumnRenamed("ordinal", "id").withColumn("kind", F.lit("document"))
+    asked = e.encode_queries(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).withColumnRenamed("query_id", "id").withColumn("kind", F.lit("query"))
+
+    def sums(k: int) -> F.Column:
+        own = F.filter("vectors", lambda x, i: i % 4 == k)
+        return F.aggregate(F.transform(own, lambda x: F.round(x.cast("double") * 10000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    ids = F.aggregate("token_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return docs.unionByName(asked).select("kind", "id", "token_count", ids.alias("ids"), sums(0).alias("first"), sums(3).alias("last"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, w.idx, w.txt, row_number() OVER (ORDER BY doc_id::VARCHAR, w.idx) - 1 AS ordinal FROM (SELECT doc_id, {s_norm("text")} AS t FROM documents) d, LATERAL {s_windows("d.t")} w WHERE length(w.txt) >= 20),
+    d AS (SELECT *, {s_tokens("'Document: ' || doc_id || chr(10) || chr(10) || txt", 260, 61)} AS ids FROM p),
+    t AS (SELECT ordinal, list_distinct({s_terms("'Document: ' || doc_id || chr(10) || chr(10) || txt")}) AS terms FROM p)
+    SELECT ordinal, doc_id::VARCHAR AS source_id, idx::INT AS "index", txt AS text, len(list_filter(ids, lambda x: NOT {_SKIP}))::INT AS token_count, len(terms)::INT AS n_terms, '0,1,2,3,4,5' AS told, 4 AS dim FROM d JOIN t USING (ordinal)"""
+)
+def indexed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of whole sources: cut, numbered, encoded in small batches, told of at every stage."""
+    told: list[int] = []
+    sources = documents.table_sources(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = index_build.from_sources(sources, byte_encoder(), embedding_dim=4, indexing=IndexingOptions(2, 4), progress=lambda done, of, name: told.append(done))
+    joined = index.passages.join(index.vectors.select("ordinal", "token_count", "embedding_dim"), "ordinal")
+    return joined.select("ordinal", "source_id", "index", "text", "token_count", F.size("terms").alias("n_terms"), F.lit(",".join(map(str, told))).alias("told"), F.col("embedding_dim").alias("dim"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, list_filter({s_tokens("text", 260, 61)}, lambda x: NOT {_SKIP}) AS ids FROM documents), q AS (SELECT item_id, {s_tokens("text", 259, 13)} AS ids FROM benchmark),
+    v AS (SELECT DISTINCT x, x % 7 AS a, x % 5 AS b, x % 3 AS c, sqrt((x % 7) * (x % 7) + (x % 5) * (x % 5) + (x % 3) * (x % 3) + 1) AS n FROM (SELECT unnest(range(0, 261)) AS x)),
+    s AS (SELECT u.x, w.x AS y, (u.a * w.a + u.b * w.b + u.c * w.c + 1) / (u.n * w.n) AS dot FROM v u, v w),
+    m AS (SELECT item_id, doc_id, sum(best) AS dense FROM (SELECT item_id, doc_id, i, max(dot) AS best FROM (SELECT item_id, unnest(ids) AS x, unnest(range(0, len(ids))) AS i FROM q) JOIN s USING (x) JOIN (SELECT DISTINCT doc_id, unnest(ids) AS y FROM d) USING (y) GROUP BY ALL) GROUP BY ALL),
+    t AS (SELECT item_id, doc_id FROM (SELECT DISTINCT item_id, unnest({s_terms("text")}) AS term FROM benchmark) JOIN (SELECT DISTINCT doc_id, unnest({s_terms("text")}) AS term FROM documents) USING (term) GROUP BY ALL)
+    SELECT item_id AS query_id, count(*)::BIGINT AS n_hits, round(sum(dense), 2) AS dense FROM m JOIN t USING (item_id, doc_id) GROUP BY item_id"""
+)
+def encoded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries encoded and scored here: all documents that share a term with a query, by MaxSim of the encoder's vectors."""
+    e = byte_encoder()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text", F.col("text").alias("context"))
+    posted = tfidf.postings(docs)
+    n = docs.count()
+    index = search.Index(docs, e.encode_documents(docs), posted, tfidf.terms(posted, n), n, embedding_dim=4)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = search.query(index, asked, e, SearchOptions(max_results=n, candidate_limit=0, use_rrf=False))
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.round(F.sum("dense"), 2).alias("dense"))
+
+
+# Stores and bundles
+
+
+@query(
+    """SELECT lang AS bundle_source_id, doc_id AS ordinal, md5(text) AS digest, (SELECT count(DISTINCT lang) FROM documents)::INT AS n_found, '2:model_id|chunk_options' AS wrong, 'does not exist' AS missing FROM documents"""
+)
+def bundle_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index for each language in a bundle: written with its manifest, found again, checked, and read as one table."""
+    folder = work.work_path(spark, "bundle")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text", "lang")
+    langs = sorted(r[0] for r in docs.select("lang").distinct().collect())  # a handful
+    for lang in langs:
+        own = docs.where(F.col("lang") == lang).drop("lang")
+        posted = tfidf.postings(own)
+        index_store.save(search.Index(own, spark.createDataFrame([], "ordinal long, vectors array<float>"), posted, tfidf.terms(posted, own.count()), own.count()), f"{folder}/{lang}")
+    made = bundle.Manifest("b", "1", "model", sources=tuple(bundle.BundleSource(lang, lang.upper(), None, None, lang) for lang in langs))
+    bundle.write_manifest(spark, f"{folder}/manifest.json", made)
+    loaded, said = bundle.load_compatible(spark, bundle.Compatibility("model"), f"{folder}/manifest.json")
+    assert loaded is not None, said
+    _, wrong = bundle.load_compatible(spark, bundle.Compatibility("other", ChunkOptions(1, 1, 1)), f"{folder}/manifest.json")
+    named = [n for w in wrong for n in ("model_id", "chunk_options") if n in w]
+    _, gone = bundle.read_manifest(spark, f"{folder}/none.json")
+    found = [p for p, (index, error) in index_store.load_many(spark, folder) if index is not None and error is None]
+    told = {"n_found": F.lit(len(found)), "wrong": F.lit(f"{len(wrong)}:{'|'.join(named)}"), "missing": F.lit("does not exist" if "does not exist" in (gone or "") else gone)}
+    return bundle.all_passages(loaded).select("bundle_source_id", "ordinal", F.md5("text").alias("digest"), *[c.alias(n) for n, c in told.items()])
+
+
+def _manifest(k: int) -> str:
+    """A manifest whose fields' spellings and faults depend on a number."""
+    source = [{"source_id": f"s{k}", "source_display_name": "S", "index_file": "there"}, {"id": f"i{k}", "displayName": "D", "documentAsset": "a", "indexFile": "gone"}, {"id": 3, "kind": "pdf"}][k % 3]
+    old = k % 2 == 1
+    return json.dumps({
+        ("schemaName" if old else "schema_name"): "AnyIndexBundle" if k % 5 else "Something", ("bundleId" if old else "bundle_id"): "b" if k % 7 else " ", ("modelId" if old else "model_id"): "m" if k % 4 else "x", ("createdAt" if old else "created_at"): "bad" if k % 3 == 0 else "2024-05-06T07:08:09+00:00",
+        ("chunkOptions" if old else "chunk_options"): {"max_chars": 1800 if k % 6 else 99, "overlap_chars": "x"}, "manifest_version": 1 if k % 9 else 2, "sources": [source],
+    })
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN k % 5 = 0 THEN 'Expected schema_name ''LumenpassIndexBundle'', got ''Something''.' END AS error,
+      CASE WHEN k % 5 <> 0 THEN CASE WHEN k % 7 <> 0 THEN 'b' ELSE ' ' END || '|' || CASE WHEN k % 4 <> 0 THEN 'm' ELSE 'x' END || '|' || CASE WHEN k % 3 = 0 THEN '1' ELSE '2024' END || '|' || CASE WHEN k % 6 <> 0 THEN 1800 ELSE 99 END || '|250|20' END AS fields,
+      CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN 's' || k || '|S|||there' WHEN 1 THEN 'i' || k || '|D|a||gone' ELSE 'source-0|Source 0||pdf|' END END AS source,
+      CASE WHEN k % 5 <> 0 THEN array_to_string(list_filter([CASE WHEN k % 9 = 0 THEN 'Unsupported index bundle manifest version 2; expected 1.' END, CASE WHEN k % 7 = 0 THEN 'Index bundle manifest bundle_id is required.' END, CASE WHEN k % 4 = 0 THEN 'Index bundle model_id ''x'' does not match expected ''m''.' END,
+        CASE WHEN k % 6 = 0 THEN 'Index bundle chunk_options (ChunkOptions(max_chars=99, overlap_chars=250, min_chars=20)) do not match expected (ChunkOptions(max_chars=1800, overlap_chars=250, min_chars=20)).' END,
+        CASE k % 3 WHEN 1 THEN 'Index bundle source ''i' || k || ''' index file ''gone'' was not found.' WHEN 2 THEN 'Index bundle source ''source-0'' index_file is required.' END], lambda x: x IS NOT NULL), chr(10)) END AS wrong, CASE WHEN k % 5 <> 0 THEN 'again' END AS again
+    FROM (SELECT s_suppkey, s_suppkey % 1000 AS k FROM supplier)"""
+)
+def manifest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests in old and new spellings parsed, everything wrong with them, and the same after writing."""
+
+    def read(k: int) -> tuple:
+        m, error = bundle.parse(_manifest(k))
+        if m is None:
+            return error, None, None, None, None
+        wrong = bundle.validate(lambda path: path == "/base/there", "/base", bundle.Compatibility("m"), m)
+        c, s = m.chunk_options, m.sources[0]
+        fields = "|".join(map(str, (m.bundle_id, m.model_id, m.created_at.year, c.max_chars, c.overlap_chars, c.min_chars)))
+        source = "|".join(x or "" for x in (s.source_id, s.source_display_name, s.source_location, s.source_kind, s.index_file))
+        return None, fields, source, "\n".join(wrong), "again" if bundle.parse(bundle.dumps(m)) == (m, None) else "changed"
+
+    made = F.udf(read, "struct<error:string,fields:string,source:string,wrong:string,again:string>", useArrow=True)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", made((F.col("s_suppkey") % 1000).cast("int")).alias("m")).select("s_suppkey", "m.*")
+
+
+@query(
+    f"""SELECT ordinal, term, round(2.0::DOUBLE * count(*) / any_value(n), 9) AS tf FROM (SELECT doc_id AS ordinal, len(x) AS n, unnest(x) AS term FROM (SELECT doc_id, {s_terms("source || '-' || lang || ' ' || lang || ' document'")} AS x FROM documents)) GROUP BY ordinal, term"""
+)
+def keyword_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weight below zero counts as zero: postings of keywords alone."""
+    words = F.array(F.concat("source", F.lit("-"), "lang"), F.col("lang"), F.lit("document"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text", words.alias("keywords"))
+    return tfidf.postings(docs, TfidfOptions(-1.0, 2.0)).select("ordinal", "term", F.round("tf", 9).alias("tf"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -118,8 +120,8 @@ def resolve(base: str, file: str) -> str:
     return file if not file.strip() or os.path.isabs(file) or "://" in file else f"{base.rstrip('/')}/{file}"
 
 
-def validate(spark: SparkSession, base: str, wanted: Compatibility, m: Manifest) -> list[str]:
-    """Everything that is wrong with a manifest."""
+def validate(exists: Callable[[str], bool], base: str, wanted: Compatibility, m: Manifest) -> list[str]:
+    """Everything that is wrong with a manifest; ``exists`` says whether an index is there."""
     said = []
     if m.manifest_version != VERSION:
         said.append(f"Unsupported index bundle manifest version {m.manifest_version}; expected {VERSION}.")
@@ -138,7 +140,7 @@ def validate(spark: SparkSession, base: str, wanted: Compatibility, m: Manifest)
             said.append(f"Index bundle source '{s.source_id}' source_display_name is required.")
         if not s.index_file.strip():
             said.append(f"Index bundle source '{s.source_id}' index_file is required.")
-        elif not work.exists(spark, resolve(base, s.index_file)):
+        elif not exists(resolve(base, s.index_file)):
             said.append(f"Index bundle source '{s.source_id}' index file '{s.index_file}' was not found.")
     return said
 
@@ -149,7 +151,7 @@ def load_compatible(spark: SparkSession, wanted: Compatibility, path: str) -> tu
     if error:
         return None, [error]
     base = path.rsplit('/', 1)[0] if '/' in path else '.'
-    if said := validate(spark, base, wanted, m):
+    if said := validate(partial(work.exists, spark), base, wanted, m):
         return None, said
     out = []
     for s in m.sources:

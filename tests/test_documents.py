@@ -245,7 +245,7 @@ def test_bundle(spark, tmp_path):
     assert said == [] and bundle.all_passages(loaded).first().bundle_source_id == "a"
     loaded, said = bundle.load_compatible(spark, bundle.Compatibility("other"), path)
     assert loaded is None and "model_id" in said[0]
-    assert len(bundle.validate(spark, str(tmp_path), bundle.Compatibility("m", ChunkOptions(1, 1, 1)), bundle.Manifest("", "", "", manifest_version=2, sources=(bundle.BundleSource("", "", None, None, ""), bundle.BundleSource("x", "X", None, None, "gone"))))) == 9
+    assert len(bundle.validate(lambda p: False, str(tmp_path), bundle.Compatibility("m", ChunkOptions(1, 1, 1)), bundle.Manifest("", "", "", manifest_version=2, sources=(bundle.BundleSource("", "", None, None, ""), bundle.BundleSource("x", "X", None, None, "gone"))))) == 9
     old, _ = bundle.parse('{"schemaName": "SomeIndexBundle", "modelId": "m", "createdAt": "bad", "sources": [{"id": "q", "displayName": "Q", "indexFile": "f"}, 3]}')
     assert old.model_id == "m" and old.created_at == bundle.NEVER and [s.source_id for s in old.sources] == ["q", "source-1"]
     assert "missing" in bundle.parse("{}")[1] and "does not exist" in bundle.read_manifest(spark, str(tmp_path / "no"))[1] and "Unable" in bundle.parse("{")[1]
