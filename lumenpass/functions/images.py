@@ -66,9 +66,13 @@ class Preprocessor:
     std: tuple[float, ...] = (0.229, 0.224, 0.225)
 
 
+def _json(path: str) -> dict:
+    return json.loads(path) if path.lstrip().startswith("{") else json.load(open(path, encoding="utf-8"))
+
+
 def load_preprocessor(path: str) -> Preprocessor:
-    """From a model's JSON; what is missing keeps its default."""
-    raw, d = json.load(open(path, encoding="utf-8")), Preprocessor()
+    """From a model's JSON file or its text; what is missing keeps its default."""
+    raw, d = _json(path), Preprocessor()
     size = raw.get("size") if isinstance(raw.get("size"), dict) else {}
     return Preprocessor(
         int(size.get("width", d.width)), int(size.get("height", d.height)), bool(raw.get("do_rescale", d.rescale)), float(raw.get("rescale_factor", d.factor)),
@@ -78,7 +82,7 @@ def load_preprocessor(path: str) -> Preprocessor:
 
 def load_labels(path: str, default: dict[int, str]) -> dict[int, str]:
     """``id2label`` of a model's JSON, or the default."""
-    found = json.load(open(path, encoding="utf-8")).get("id2label")
+    found = _json(path).get("id2label")
     return {int(k): v for k, v in found.items() if str(k).lstrip("-").isdigit()} if isinstance(found, dict) and found else default
 
 

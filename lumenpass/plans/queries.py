@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenpass import schemas as S
 from lumenpass.functions import geometry as G
 from lumenpass.functions import text as T
 from lumenpass.operators import assembly, cells, chunking, encoder, keywords, markdown, scoring, search, tfidf
@@ -551,16 +552,34 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", made("doc_id", "text").alias("document"))
 
 
-@query("SELECT doc_id, 'doc-' || doc_id AS name, least(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), greatest(3, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))))::BIGINT AS n_texts FROM documents")
+_ITEMS = "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents"
+_LABEL = "CASE WHEN i = 1 THEN 'title' WHEN i = 2 THEN 'section_header' WHEN i = len(ls) THEN 'caption' ELSE 'text' END"
+_SAID = "CASE WHEN i = 2 THEN '1 ' || x ELSE x END"
+
+
+@query(
+    f"""SELECT doc_id, 'doc-' || doc_id AS name, array_to_string(list_transform(ls, lambda x, i: '#/texts/' || (i - 1) || '|' || {_LABEL} || '|' || i || '|' || {_SAID} || '|' || x), chr(10)) AS texts,
+      array_to_string(list_transform(ls, lambda x, i: '#/texts/' || (i - 1)), ',') || ',#/texts/none' AS children FROM ({_ITEMS})"""
+)
 def document_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSON and parsed again."""
-    back = _documents(spark, sf_dir).select("doc_id", docjson.parsed(docjson.written("document")).alias("p"))
-    return back.select("doc_id", F.col("p.document.name").alias("name"), F.size("p.document.texts").cast("long").alias("n_texts"))
+    """Documents written as JSON and parsed again: every text with its reference, label, page and both readings."""
+    back = _documents(spark, sf_dir).select("doc_id", docjson.parsed(docjson.written("document")).alias("p")).select("doc_id", "p.document.*")
+    line = lambda t: F.concat_ws("|", t["self_ref"], t["label"], t["prov"][0]["page_no"].cast("string"), t["text"], t["orig"])
+    return back.select("doc_id", "name", F.array_join(F.transform("texts", line), "\n").alias("texts"), F.array_join("body_children", ",").alias("children"))
 
 
-@query("SELECT doc_id, 'Missing referenced child: #/texts/none' AS errors FROM documents")
+@query(
+    f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'Document name is required.' END, CASE WHEN doc_id % 5 = 0 THEN 'At least one page is required.' END, CASE WHEN doc_id % 7 = 0 THEN 'Missing referenced child: #/texts/0' END, 'Missing referenced child: #/texts/none',
+      CASE WHEN doc_id % 7 = 0 THEN 'Text item self_ref is required.' END, CASE WHEN doc_id % 4 = 0 THEN 'Text item ' || CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE '#/texts/0' END || ' has empty text.' END, CASE WHEN doc_id % 2 = 0 THEN 'Table item #/tables/0 has invalid dimensions.' END], lambda x: x IS NOT NULL), '; ') AS errors FROM documents"""
+)
 def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(docjson.validate("document"), "; ").alias("errors"))
+    """Documents spoilt in one way or several, by their ids, and everything that is said of them."""
+    k, d = F.col("doc_id"), F.col("document")
+    first = lambda t: t.withField("text", F.when(k % 4 == 0, " ").otherwise(t["text"])).withField("self_ref", F.when(k % 7 == 0, " ").otherwise(t["self_ref"]))
+    texts = F.transform(d["texts"], lambda t, i: F.when(i == 0, first(t)).otherwise(t))
+    table_item = F.from_json(F.concat(F.lit('{"self_ref": "#/tables/0", "label": "table", "data": {"num_rows": '), F.when(k % 2 == 0, "-1").otherwise("1"), F.lit(', "num_cols": 1, "table_cells": []}}')), S.TABLE_ITEM)
+    spoilt = d.withField("name", F.when(k % 3 == 0, " ").otherwise(d["name"])).withField("pages", F.when(k % 5 == 0, F.map_filter(d["pages"], lambda a, b: F.lit(False))).otherwise(d["pages"])).withField("texts", texts).withField("tables", F.array(table_item))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(docjson.validate(spoilt), "; ").alias("errors"))
 
 
 @query(sql.DOCUMENT_PASSAGES)
@@ -613,13 +632,13 @@ def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, 'Section: ' || source || chr(10) || text AS chunk, source AS heading, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 9) || '.' || (doc_id % 4) END AS parts,
-      CASE WHEN len({_PATHS}) = 1 THEN 'front_matter' ELSE 'other' END AS front FROM documents"""
+      CASE WHEN len({_PATHS}) = 1 THEN 'front_matter' ELSE {_ROLE} END AS front FROM (SELECT *, lower({s_norm('text')}) AS t, list_transform({_PATHS}, lambda p: {s_name('p')}) AS names FROM documents)"""
 )
 def headed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with their section's heading, the heading read back, numbered headings, and front matter by short paths."""
+    """Chunks with their section's heading, the heading read back, numbered headings, and roles with front matter."""
     d = table(spark, sf_dir, "documents").withColumn("chunk", T.format_chunk("source", "text"))
     numbered = F.when(F.col("doc_id") % 2 == 0, F.concat((F.col("doc_id") % 9).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string"), F.lit(" Title"))).otherwise(F.lit("Title"))
-    front = F.when(T.structured_role(_paths(), "text") == "front_matter", "front_matter").otherwise("other")
+    front = T.structured_role(_paths(), "text")
     return d.select("doc_id", "chunk", T.heading_of("chunk").alias("heading"), F.array_join(T.numbered_heading_parts(numbered).cast("array<string>"), ".").alias("parts"), front.alias("front"))
 
 
@@ -647,15 +666,16 @@ def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT vec_id, CASE WHEN list_max(e) <= 1.5 THEN round((e[1] - e[3] / 2) * 640, 4) ELSE round(e[1] * 2.0, 4) END AS l, CASE WHEN list_max(e) <= 1.5 THEN round((e[2] + e[4] / 2) * 480, 4) ELSE round(e[4] * 2.0, 4) END AS b
-    FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:4]::DOUBLE[] ELSE list_transform(embedding[1:4], lambda x: 2.0 + abs(x::DOUBLE) * 100) END AS e FROM embeddings)"""
+    """SELECT vec_id, g::INT AS box_no, CASE WHEN list_max(e) <= 1.5 THEN round((e[1] - e[3] / 2) * 640, 4) ELSE round(e[1] * 2.0, 4) END AS l, CASE WHEN list_max(e) <= 1.5 THEN round((e[2] + e[4] / 2) * 480, 4) ELSE round(e[4] * 2.0, 4) END AS b
+    FROM (SELECT vec_id, g, list_transform(embedding[4 * g + 1:4 * g + 4], lambda x: CASE WHEN (vec_id + g) % 2 = 0 THEN x::DOUBLE ELSE 2.0 + abs(x::DOUBLE) * 100 END) AS e FROM (SELECT *, unnest(range(0, len(embedding) // 4)) AS g FROM embeddings))"""
 )
 def detection_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detector's numbers, relative or in pixels, as boxes."""
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
-    four = F.when(F.col("vec_id") % 2 == 0, e).otherwise(F.transform(e, lambda x: 2.0 + F.abs(x) * 100))
-    made = table(spark, sf_dir, "embeddings").select("vec_id", G.decode_detection(four, F.lit(640), F.lit(480), F.lit(320), F.lit(240)).alias("d"))
-    return made.select("vec_id", F.round("d.l", 4).alias("l"), F.round("d.b", 4).alias("b"))
+    """A detector's numbers, relative or in pixels, as boxes: each four components of every vector."""
+    g = F.col("box_no")
+    of = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).select("vec_id", "e", F.explode(F.sequence(F.lit(0), F.floor(F.size("e") / 4).cast("int") - 1)).alias("box_no"))
+    four = F.transform(F.slice("e", g * 4 + 1, F.lit(4)), lambda x: F.when((F.col("vec_id") + g) % 2 == 0, x).otherwise(2.0 + F.abs(x) * 100))
+    made = of.select("vec_id", "box_no", G.decode_detection(four, F.lit(640), F.lit(480), F.lit(320), F.lit(240)).alias("d"))
+    return made.select("vec_id", "box_no", F.round("d.l", 4).alias("l"), F.round("d.b", 4).alias("b"))
 
 
 @query(

@@ -8,12 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenpass.functions import images
 from lumenpass.operators import encoder, search, tfidf
 from lumenpass.options import ChunkOptions, EncoderConfig, IndexingOptions, SearchOptions, TfidfOptions
 from lumenpass.plans import index_build
 from lumenpass.plans.registry import query, table
 from lumenpass.plans.sql import s_norm, s_terms, s_windows
-from lumenpass.sources import bundle, documents, index_store, work
+from lumenpass.sources import bundle, catalog, documents, index_store, work
 
 # An encoder whose tokens are bytes and whose model is a function of the token ids
 
@@ -176,3 +177,30 @@ def keyword_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(F.concat("source", F.lit("-"), "lang"), F.col("lang"), F.lit("document"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text", words.alias("keywords"))
     return tfidf.postings(docs, TfidfOptions(-1.0, 2.0)).select("ordinal", "term", F.round("tf", 9).alias("tf"))
+
+
+def _settings(k: int) -> tuple:
+    """Model files' settings of the right and the wrong kind, by a number."""
+    c = encoder.load_config(json.dumps({"query_length": k, "document_length": "x" if k % 2 else 99, "do_lower_case": bool(k % 3), "skiplist_words": ["b", "a", 3, "b"] if k % 4 else 0, "mask_token_id": True}))
+    p = images.load_preprocessor(json.dumps({"size": {"width": k} if k % 2 else 3, "do_normalize": bool(k % 3), "image_mean": [0.5]}))
+    labels = images.load_labels(json.dumps({"id2label": {str(k): "own", "x": "y"} if k % 2 else {}}), {1: "default"})
+    merges = encoder.read_merges({"merges": [f"a{k} b", ["c", "d", "e"], [1, "f"], 7]} if k % 5 else {"merges": 3})
+    vocab, added = encoder.read_vocabulary({"model": {"vocab": {"x": 1, "y": 2}}, "added_tokens": [{"content": "x", "id": 9}, {"content": "z", "id": k}, {"content": 3, "id": 4}]})
+    files = catalog.ModelManifest("m", (("a.onnx", "u"), ("b.json", "v")))
+    has = {0: set(), 1: {"/one/a.onnx"}, 2: {"/one/a.onnx", "/two/a.onnx", "/two/b.json"}}[k % 3]
+    found = catalog.resolve_local(["", " ", "/one", "/two"], files, has.__contains__)
+    return (
+        f"{c.query_length}|{c.document_length}|{c.lower_case}|{','.join(c.skip_words) if k % 4 else len(c.skip_words)}|{c.mask_id}", f"{p.width}|{p.height}|{p.normalize}|{','.join(map(str, p.mean))}|{p.factor == 1 / 255}",
+        ",".join(f"{a}={b}" for a, b in labels.items()), ";".join(merges), ",".join(f"{a}={b}" for a, b in sorted(vocab.items())) + "|" + ",".join(f"{a}={b}" for a, b in sorted(added.items())), (found or {}).get("b.json"),
+    )
+
+
+@query(
+    """SELECT s_suppkey, k || '|' || CASE WHEN k % 2 = 1 THEN 512 ELSE 99 END || '|' || CASE WHEN k % 3 > 0 THEN 'True' ELSE 'False' END || '|' || CASE WHEN k % 4 > 0 THEN 'a,b' ELSE '32' END || '|50284' AS config,
+      CASE WHEN k % 2 = 1 THEN k ELSE 224 END || '|224|' || CASE WHEN k % 3 > 0 THEN 'True' ELSE 'False' END || '|0.5|True' AS preprocessor, CASE WHEN k % 2 = 1 THEN k || '=own' ELSE '1=default' END AS labels, CASE WHEN k % 5 > 0 THEN 'a' || k || ' b;c d' ELSE '' END AS merges,
+      'x=1,y=2,z=' || k || '|x=9,z=' || k AS vocabulary, CASE WHEN k % 3 = 2 THEN '/two/b.json' END AS file FROM (SELECT s_suppkey, s_suppkey % 1000 AS k FROM supplier)"""
+)
+def model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of encoders and image models, label lists, merges, vocabularies, and where a model's files are."""
+    made = F.udf(_settings, "struct<config:string,preprocessor:string,labels:string,merges:string,vocabulary:string,file:string>", useArrow=True)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", made((F.col("s_suppkey") % 1000).cast("int")).alias("m")).select("s_suppkey", "m.*")

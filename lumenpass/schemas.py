@@ -16,10 +16,11 @@ CLUSTER = f"struct<id: int, label: string, confidence: double, bbox: {BBOX}, cel
 PROV = f"struct<page_no: int, bbox: {BBOX}, char_span: struct<start: int, end: int>>"
 COMMON_ITEM = f"self_ref: string, parent: string, label: string, content_layer: string, prov: array<{PROV}>, keywords: array<string>, source_id: string, source_display_name: string"
 TABLE_CELL = f"struct<text: string, bbox: {BBOX}, start_row_offset_idx: int, end_row_offset_idx: int, start_col_offset_idx: int, end_col_offset_idx: int, row_header: boolean, column_header: boolean, row_section: boolean>"
+TABLE_ITEM = f"struct<{COMMON_ITEM}, data: struct<num_rows: int, num_cols: int, table_cells: array<{TABLE_CELL}>>>"
 DOCUMENT_FIELDS = (
     "name: string, origin_file_name: string, origin_mime_type: string, pages: map<int, struct<page_no: int, size: struct<width: double, height: double>>>, "
     f"texts: array<struct<{COMMON_ITEM}, text: string, orig: string>>, "
-    f"tables: array<struct<{COMMON_ITEM}, data: struct<num_rows: int, num_cols: int, table_cells: array<{TABLE_CELL}>>>>, "
+    f"tables: array<{TABLE_ITEM}>, "
     f"pictures: array<struct<{COMMON_ITEM}, classifications: array<struct<class_name: string, confidence: double>>>>, "
     "body_children: array<string>, furniture_children: array<string>"
 )

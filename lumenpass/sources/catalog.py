@@ -15,11 +15,11 @@ class ModelManifest:
     files: tuple[tuple[str, str], ...]
 
 
-def resolve_local(folders: Iterable[str], manifest: ModelManifest) -> dict[str, str] | None:
-    """Paths by file name in the first folder that has all of the files."""
+def resolve_local(folders: Iterable[str], manifest: ModelManifest, there: Callable[[str], bool] = os.path.isfile) -> dict[str, str] | None:
+    """Paths by file name in the first folder that has all of the files; ``there`` says whether a file exists."""
     for folder in folders:
         paths = {n: os.path.join(folder, n) for n, _ in manifest.files} if folder and folder.strip() else None
-        if paths and all(map(os.path.isfile, paths.values())):
+        if paths and all(map(there, paths.values())):
             return paths
     return None
 
