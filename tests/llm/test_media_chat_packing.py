@@ -170,3 +170,30 @@ def test_bins_depend_on_the_rows_alone(spark, monkeypatch):
         assert named.columns[1] == "name" and Counter(x.name for x in named.where("piece = 0").collect()) == Counter(f"d{i}" if i is not None else None for i, *_ in rows)
     assert results[0] == results[1] == results[2]
     assert Counter(x.doc_id for x in results[0].elements() if x.piece == 0) == Counter(i for i, *_ in rows)
+
+
+def hash_by_hand(rows):
+    """The difference hash of a gray image, each of its 8 x 9 cells a sum of pixels by the share that lies in it."""
+    from fractions import Fraction
+
+    h, w = len(rows), len(rows[0])
+
+    def cut(n, parts):
+        edges = [Fraction(k * n, parts) for k in range(parts + 1)]
+        return [[(i, min(Fraction(i + 1), b) - max(Fraction(i), a)) for i in range(int(a), -(-b.numerator // b.denominator)) if min(Fraction(i + 1), b) > max(Fraction(i), a)] for a, b in zip(edges, edges[1:])]
+
+    ys, xs = cut(h, 8), cut(w, 9)
+    area = Fraction(h * w, 72)
+    cells = [[round(float(sum(fy * fx * int(rows[i][j]) for i, fy in y for j, fx in x) / area), 6) for x in xs] for y in ys]
+    return int("".join("1" if b > a else "0" for line in cells for a, b in zip(line, line[1:])), 2)
+
+
+def test_features_by_hand(spark):
+    texts = [None, "", "short", "Σ ΑΣ İ ß é é " * 40, "ab" * 700, *[t for t in noise(12, size=1500)]]
+    got = {x.doc_id: x.feature for x in media.text_media_table(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        rows = [payload[a : a + 24] for a in range(0, len(payload), 24)]
+        mean = [[sum(payload[k * 576 + y * 24 + x] for k in range(len(payload) // 576)) for x in range(24)] for y in range(24)]
+        assert got[i] == f"{hash_by_hand(rows):016x}{hash_by_hand(mean):016x}"

@@ -263,3 +263,97 @@ def test_known_labels_do_not_reach_the_fit():
     import inspect
 
     assert list(inspect.signature(toxicity.Toxicity.fit).parameters) == ["self", "votes", "dense", "row", "entry", "count", "rounds"]
+
+
+def features_by_hand(text):
+    """The eleven binned features of each line, character by character."""
+    stops, blanks = set(".,;:?'\"()-"), set(" \t\r\x0b\x0c\n")
+
+    def kind(c):
+        if c in blanks:
+            return "blank"
+        if ord(c) >= 128:
+            return "upper" if 0xC0 <= ord(c) <= 0xDE else "letter"
+        return "upper" if c.isupper() else "letter" if c.isalpha() else "digit" if c.isdigit() else "stop" if c in stops else "sign" if 32 < ord(c) < 127 else "other"
+
+    def bins(edges, x):
+        return sum(x > e for e in edges)
+
+    out = []
+    for line in text.split("\n"):
+        kinds = [kind(c) for c in line]
+        words, held = [], ""
+        for c, k in zip(line, kinds):
+            if k == "blank":
+                words, held = words + [held] * bool(held), ""
+            else:
+                held += c
+        words += [held] * bool(held)
+        tokens = line.split()
+        n, letters, chars = kinds.count, sum(k in ("letter", "upper") for k in kinds), max(1, len(line))
+        some, count = max(1, len(words)), max(1, len(tokens))
+        signed = [w for w in words if kind(w[-1]) == "sign"]
+        r = lambda a, b: bins(quality.RATIOS, a / max(1, b))
+        fresh = bins(quality.RATIOS, len(set(tokens)) / count)
+        length = bins(quality.LENGTHS, len(tokens))
+        own = [r(n("upper"), letters), r(len(signed), some), r(sum(a == b for a, b in zip(tokens, tokens[1:])), count), fresh if len(tokens) >= 4 else 0, r(n("sign"), chars), r(sum(len(w) == 1 for w in signed), some), length, r(n("digit"), chars), r(n("stop"), chars), int(bool(kinds) and kinds[-1] == "sign"), min(5, length // 2) * 10 + fresh]
+        out.append([min(a, b - 1) for a, b in zip(own, quality.BINS)])
+    near = quality.NEAR
+    return [[*own, *(x + 1 for x in out[i - 1][:near]), *(x + 1 for x in out[i + 1][:near])] if 0 < i < len(out) - 1 else [*own, *([x + 1 for x in out[i - 1][:near]] if i else [0] * near), *([x + 1 for x in out[i + 1][:near]] if i < len(out) - 1 else [0] * near)] for i, own in enumerate(out)]
+
+
+def test_features_by_hand():
+    from helpers import noise
+
+    texts = [*[t or "" for t in ODD], *noise(300, size=200), *[r[0] for r in corpus(60)]]
+    features, size, n_lines = quality.line_features(texts)
+    want = [f for t in texts for f in features_by_hand(t)]
+    assert np.array_equal(features - quality.BASE[:-1], np.array(want))
+    assert size.tolist() == [len(x.encode()) for t in texts for x in t.split("\n")] and n_lines.tolist() == [t.count("\n") + 1 for t in texts]
+
+
+def test_scores_by_hand():
+    field = quality.Field()
+    r = np.random.default_rng(6)
+    field.weight, field.step, field.line = r.normal(size=quality.WIDTH), r.normal(size=(2, 2)), (1.3, -2.1)
+    for text in ("one line", "", "A b C!\nsecond line here\n\n12 34 ###", "x\n" * 6):
+        features, size, _ = quality.line_features([text])
+        n = len(size)
+        score = [sum(field.weight[f]) for f in features]
+        p, z = np.zeros(n), 0.0
+        for code in range(2**n):
+            y = [code >> k & 1 for k in range(n)]
+            w = np.exp(sum((2 * y[k] - 1) * score[k] / 2 for k in range(n)) + sum(field.step[y[k], y[k + 1]] for k in range(n - 1)))
+            z += w
+            p += w * np.array(y)
+        share = sum(p[k] / z * (len(x.encode()) + 1) for k, x in enumerate(text.split("\n"))) / sum(len(x.encode()) + 1 for x in text.split("\n"))
+        assert np.isclose(field.score([text])[0], 1 / (1 + np.exp(-(1.3 - 2.1 * share))))
+
+
+def test_fit_climbs_the_likelihood_and_calibration_ends_at_its_best():
+    r = np.random.default_rng(8)
+    features, n_lines = r.integers(0, 40, (30, 3)), np.array([1, 5, 9, 3, 12])
+    bad, importance = features[:, 0] < 15, np.ones(30)
+
+    def likelihood(field):
+        first = np.cumsum(n_lines) - n_lines
+        total = 0.0
+        for a, n in zip(first, n_lines):
+            score = field.weight[features[a : a + n]].sum(axis=1)
+            ahead = np.exp(np.array([-score[0], score[0]]) / 2)
+            for k in range(1, n):
+                ahead = (ahead @ np.exp(field.step)) * np.exp(np.array([-score[k], score[k]]) / 2)
+            y = bad[a : a + n].astype(int)
+            total += sum((2 * y - 1) * score / 2) + sum(field.step[i, j] for i, j in zip(y, y[1:])) - np.log(ahead.sum())
+        return total
+
+    held = []
+    for rounds in (1, 30, 150):
+        field = quality.Field()
+        field.fit(features, n_lines, bad, importance, rounds)
+        held.append(likelihood(field))
+    assert likelihood(quality.Field()) < held[0] < held[1] < held[2]
+    share, good = r.random(200), (r.random(200) < 0.6).astype(float)
+    a, b = quality.calibrate(share, good)
+    loss = lambda a, b: (np.log1p(np.exp(-(2 * good - 1) * (a + b * share)))).sum() + 0.5e-2 * (a * a + b * b)
+    assert all(loss(a, b) <= loss(a + x, b + y) for x in (-1e-3, 0, 1e-3) for y in (-1e-3, 0, 1e-3))
