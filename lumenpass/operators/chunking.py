@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumenpass import schemas as S
 from lumenpass.functions import plain
@@ -96,18 +101,35 @@ def block_chunks(blocks: Column | str, options: ChunkOptions = ChunkOptions()) -
     return F.udf(lambda b: plain.section_chunks(plain.split_sections(list(b if b is not None else [])), *o), _CHUNKS, useArrow=True)(blocks)
 
 
-def _from_chunks(df: DataFrame, chunks: Column) -> DataFrame:
-    placed = df.select("*", F.posexplode(chunks).alias("__k", "__c"))
-    return placed.select(*_passage(SOURCE, F.col("__k"), F.col("__c.text"), F.col("__c.section_path"), F.col("__c.content_role")))
+def folded(df: DataFrame, column: str, chunks: Callable[[list], list[tuple]]) -> DataFrame:
+    """Passages of sources whose ``column`` a fold turns into chunks (path, role, text): one pass over Arrow batches."""
+    slim = df.select("id", "display_name", "location", F.col(column).alias("held"))
+    kinds = [slim.schema[c].dataType.simpleString() for c in ("id", "display_name", "location")]
+    rest = S.PASSAGES.split("`index`")[1]
+    schema = StructType.fromDDL(f"source_id {kinds[0]}, source_display_name {kinds[1]}, source_location {kinds[2]}, `index`{rest}")
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [chunks(x) if x is not None else [] for x in b.column("held").to_pylist()]
+            at = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
+            flat = [c for f in found for c in f]
+            own = {"index": [n for f in found for n in range(len(f))], "text": [c[2] for c in flat], "section_path": [c[0] for c in flat], "content_role": [c[1] for c in flat]}
+            columns = [pa.array(own.get(t.name, [[]] * len(flat)), t.type) for t in list(target)[3:]]
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(3)], *columns], names=target.names)
+
+    return slim.mapInArrow(run, schema)
 
 
 def passages_from_blocks(df: DataFrame, options: ChunkOptions = ChunkOptions(), blocks_col: str = "blocks") -> DataFrame:
     """Passages of sources (id, display_name, location, blocks), numbered without gaps."""
-    return _from_chunks(df, block_chunks(blocks_col, options))
+    o = (options.max_chars, options.overlap_chars, options.min_chars)
+    return folded(df, blocks_col, lambda b: plain.section_chunks(plain.split_sections(b), *o))
 
 
 def passages_from_sections(df: DataFrame, options: ChunkOptions = ChunkOptions(), sections_col: str = "sections") -> DataFrame:
-    return _from_chunks(df, section_chunks(sections_col, options))
+    o = (options.max_chars, options.overlap_chars, options.min_chars)
+    return folded(df, sections_col, lambda s: plain.section_chunks([(x["heading"], x["blocks"]) for x in s], *o))
 
 
 def chunk_sectioned_blocks(blocks: Column | str, options: ChunkOptions = ChunkOptions()) -> Column:

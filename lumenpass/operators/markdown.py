@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenpass import schemas as S
 from lumenpass.functions import plain
-from lumenpass.operators.chunking import passages_from_sections
+from lumenpass.operators.chunking import folded
 from lumenpass.options import ChunkOptions
 
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
@@ -99,8 +99,9 @@ def full_text(text: Column | str) -> Column:
 
 
 def passages(df: DataFrame, options: ChunkOptions = ChunkOptions(), text_col: str = "text") -> DataFrame:
-    """Passages of sources (id, display_name, location, Markdown text)."""
-    return passages_from_sections(df.withColumn("sections", sections(text_col)), options)
+    """Passages of sources (id, display_name, location, Markdown text): read and cut in one pass over Arrow batches."""
+    o = (options.max_chars, options.overlap_chars, options.min_chars)
+    return folded(df, text_col, lambda t: plain.section_chunks(sections_of(t), *o))
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:

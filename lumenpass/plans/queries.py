@@ -347,9 +347,9 @@ _HITS = "h AS (SELECT c.*, coalesce(dense, 0.0) AS dense FROM c LEFT JOIN m USIN
 def maxsim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MaxSim of every stated query's vectors with all documents' vectors, in blocks of queries."""
     index = _index(spark, sf_dir)
-    every = SearchOptions(max_results=index.passage_count, use_lexical_filter=False, use_rrf=False)
-    hits = search.query_encoded(index, _queries(spark, sf_dir), _query_vectors(spark, sf_dir), every)
-    return hits.join(index.vectors.select("ordinal"), "ordinal", "left_semi").select("query_id", "ordinal", F.round("dense", 6).alias("dense"))
+    asked = _query_vectors(spark, sf_dir)
+    found = search.dense_scores(index.vectors, search.query_blocks(asked, 64), asked.schema["query_id"].dataType, 64)
+    return found.select("query_id", "ordinal", F.round("dense", 6).alias("dense"))
 
 
 @query(

@@ -310,3 +310,28 @@ def test_queries_in_blocks(spark):
         got = {(x.query_id, x.ordinal): x.dense for x in search.dense_scores(i.vectors, blocks, q.schema["query_id"].dataType, 2).collect()}
         want = {(a.query_id, b.ordinal): scoring.max_sim_of(np.array(a.vectors or []).reshape(-1, 2), np.array(b.vectors).reshape(-1, 2)) for a in q.collect() for b in i.vectors.collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+class Slow(Fixed):
+    """Takes its time over every passage."""
+
+    def encode_documents(self, table):
+        import time
+
+        def run(batches):
+            for b in batches:
+                time.sleep(60)
+                yield b
+
+        return super().encode_documents(table.mapInArrow(run, table.schema))
+
+
+def test_running_jobs_are_cancelled_and_told_of(spark):
+    import time
+
+    sources = spark.createDataFrame([("a", "a", "/a", "some text that is long enough", True)], "id string, display_name string, location string, text string, enabled boolean")
+    began, told = time.time(), []
+    with pytest.raises(index_build.Cancelled):
+        index_build.from_sources(sources, Slow(), embedding_dim=2, cancelled=lambda: time.time() > began + 15, tasks=lambda done, of: told.append((done, of)))
+    assert time.time() < began + 50 and told and all(0 <= a <= b for a, b in told)
+    assert spark.range(3).count() == 3 and not (spark.sparkContext.getLocalProperty("spark.jobGroup.id") or "").startswith("lumenpass")
