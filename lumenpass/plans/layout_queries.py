@@ -169,6 +169,68 @@ def pdf_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_id", F.col("source_display_name").alias("name"), F.col("source_location").alias("location"), "index", "text", F.length("text").alias("n"), F.lit(one).alias("shown"))
 
 
+# PDF files: twelve lines of a document on a page, with a wider gap after each third
+
+
+def pdf_file(text: str) -> bytes:
+    """A PDF of a text: one font, compressed pages, as many images on a page as its number leaves by 3."""
+    import zlib
+
+    lines = (text or "").split("\n")
+    sheets = [lines[a : a + 12] for a in range(0, len(lines), 12)]
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 3: b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"}
+    for n, sheet in enumerate(sheets, 1):
+        page, drawn = 10 * n, b""
+        for i, line in enumerate(sheet):
+            raw = line.encode("cp1252", "replace")
+            for c in (b"\\", b"(", b")"):
+                raw = raw.replace(c, b"\\" + c)
+            drawn += b"BT /F 10 Tf 1 0 0 1 50 %d Tm (%s) Tj ET\n" % (780 - 14 * i - 20 * (i // 3), raw.replace(b"\r", b"\\r"))
+        for k in range(n % 3):
+            objects[page + 2 + k] = b"<</Type/XObject/Subtype/Image/Width %d/Height %d/Length 0>>stream\n\nendstream" % (n, k)
+            drawn += b"q /I%d Do Q\n" % k
+        packed = zlib.compress(drawn, 1)
+        images_ = b"".join(b"/I%d %d 0 R" % (k, page + 2 + k) for k in range(n % 3))
+        objects[page] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R/Resources<</Font<</F 3 0 R>>/XObject<<%s>>>>>>" % (page + 1, images_)
+        objects[page + 1] = b"<</Filter/FlateDecode/Length %d>>stream\n%s\nendstream" % (len(packed), packed)
+    objects[2] = b"<</Type/Pages/MediaBox[0 0 600 800]/Count %d/Kids[%s]>>" % (len(sheets), b" ".join(b"%d 0 R" % (10 * n) for n in range(1, len(sheets) + 1)))
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(objects.items())) + b"trailer<</Root 1 0 R>>\n%%EOF"
+
+
+def _pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.udf(pdf_file, "binary", useArrow=True)
+    broken = F.when(F.col("doc_id") % 50 == 7, F.encode(F.lit("no such file"), "UTF-8")).otherwise(made("text"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), broken.alias("content"))
+
+
+_FILES = f"""rows AS (SELECT doc_id, (i - 1) // 12 + 1 AS n, (i - 1) % 12 AS j, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 50 <> 7))),
+  near AS (SELECT *, j - j % 3 <> coalesce(lag(j - j % 3) OVER w, -1) OR coalesce(lag(j) OVER w, -9) <> j - 1 AS begins FROM rows WHERE trim(line) <> '' WINDOW w AS (PARTITION BY doc_id, n ORDER BY j)),
+  lumps AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, n ORDER BY j) - 1 AS k FROM near),
+  blocks AS (SELECT doc_id, n, k, {s_norm("string_agg(line, chr(10) ORDER BY j)")} AS t FROM lumps GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_FILES} SELECT '/in/' || doc_id || '.pdf' AS path, n::INT AS page_no, t AS text FROM blocks WHERE NOT regexp_matches(t, '^\d+$')
+    UNION ALL SELECT '/in/' || doc_id || '.pdf', n::INT, array_to_string({_NOTE}, ' ') FROM (SELECT DISTINCT doc_id, n FROM rows) WHERE n % 3 > 0
+    UNION ALL SELECT '/in/' || doc_id || '.pdf', -1, 'Unable to read PDF ''/in/' || doc_id || '.pdf'': not a PDF file' FROM documents WHERE doc_id % 50 = 7"""
+)
+def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and image notes of PDF files by the package's own reader, and the errors of files that are none."""
+    pages = documents.extract_pages(_pdf_files(spark, sf_dir))
+    wrong = pages.where("error is not null").select("path", F.lit(-1).alias("page_no"), F.col("error").alias("text"))
+    return documents.read_blocks(pages).select("path", "page_no", "text").unionByName(wrong)
+
+
+@query(
+    f"""WITH {_FILES} SELECT '/in/' || doc_id || '.pdf' AS path, n::INT AS page_no, w AS text, round(50 + 5.0 * (pos - 1), 3)::DOUBLE AS l, round(50 + 5.0 * (pos - 1 + length(w)), 3)::DOUBLE AS r, round(778.0 - 14 * j - 20 * (j // 3), 3)::DOUBLE AS low
+    FROM (SELECT doc_id, n, j, ws[x] AS w, 1 + (x - 1) + coalesce(list_sum(list_transform(ws[1:x - 1], lambda y: length(y))), 0) AS pos FROM (SELECT doc_id, n, j, string_split(line, ' ') AS ws, unnest(range(1, len(string_split(line, ' ')) + 1)) AS x FROM rows)) WHERE w <> ''"""
+)
+def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of PDF files as cells with their boxes."""
+    found = documents.page_cells(documents.extract_words(_pdf_files(spark, sf_dir)).where("error is null"))
+    return found.select("path", "page_no", "text", F.round("bbox.l", 3).alias("l"), F.round("bbox.r", 3).alias("r"), F.round("bbox.t", 3).alias("low"))
+
+
 # Markdown passages
 
 

@@ -253,10 +253,10 @@ def deterministic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(batch: list[dict]) -> list[tuple]:
-    return [(p["source_id"], p["index"], ["alpha", "Beta", f"doc {p['source_id']}"]) for p in batch]
+    return [(p["source_id"], p["index"], ["alpha", p["text"][:10], f"doc {p['source_id']}", f"{len(p['text'])}"]) for p in batch]
 
 
-@query("SELECT doc_id::VARCHAR AS source_id, 'alpha|Beta|doc ' || doc_id AS keywords FROM documents")
+@query(f"SELECT doc_id::VARCHAR AS source_id, array_to_string(list_filter(['alpha', {s_norm('substr(text, 1, 10)')}, 'doc ' || doc_id, length(text)::VARCHAR], lambda x: x <> ''), '|') AS keywords FROM documents")
 def keyword_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's generator, called in batches, joined back to its passages."""
     done = keywords.elaborate(_passages(spark, sf_dir).drop("doc_id"), KeywordOptions(generator=_generated))

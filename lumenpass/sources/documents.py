@@ -12,6 +12,7 @@ from lumenpass import schemas as S
 from lumenpass.functions import text as T
 from lumenpass.operators import chunking
 from lumenpass.options import ChunkOptions, PassageSource, PdfOptions
+from lumenpass.sources import pdf
 
 
 def sources(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -62,10 +63,11 @@ def image_notes(images: Column | str, page_no: Column | str) -> Column:
 PAGES = "path string, page_no int, blocks array<string>, images array<struct<width:int,height:int>>, error string"
 
 
-def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[dict]]) -> DataFrame:
-    """Pages of binary files (path, content) by a user's extractor, which gives dicts of page_no, blocks, images.
+def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[dict]] = pdf.extract) -> DataFrame:
+    """Pages of binary files (path, content) by an extractor, which gives dicts of page_no, blocks, images.
 
-    No PDF library is part of this package. A file that the extractor refuses gives one row with the error.
+    The default is the package's own small PDF reader; any library can take its place. A file that the extractor
+    refuses gives one row with the error.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,6 +107,22 @@ def read_passages(pages: DataFrame, read: PdfOptions = PdfOptions(), chunk: Chun
 WORDS = "path string, page_no int, width double, height double, words array<struct<text:string,l:double,t:double,r:double,b:double>>"
 
 
+def extract_words(files: DataFrame, extractor: Callable[[bytes], list[dict]] = pdf.extract_words) -> DataFrame:
+    """Pages with the words of binary files (path, content); a file that the extractor refuses gives a row with the error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    out += [(path, int(p["page_no"]), p["width"], p["height"], p["words"], None) for p in extractor(bytes(content))]
+                except Exception as e:  # noqa: BLE001 - any failure of a file is its row's error
+                    out.append((path, None, None, None, [], f"Unable to read PDF '{path}': {e}"))
+            yield pd.DataFrame(out, columns=["path", "page_no", "width", "height", "words", "error"]).astype({"page_no": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, f"{WORDS}, error string")
+
+
 def page_cells(words: DataFrame) -> DataFrame:
     """(path, page_no, cell_no, text, bbox, confidence): native words as cells with a bottom-left origin; blanks dropped."""
     from lumenpass.functions import geometry as G
