@@ -299,11 +299,22 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_HELD: list[DataFrame] = []
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """A persisted table; the one held before is let go (what still reads it computes it again)."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    _HELD.append(df.persist())
+    return df
+
+
 def _index(spark: SparkSession, sf_dir: str) -> search.Index:
     """Documents as passages; document p owns the embeddings whose id leaves p, as token vectors in id order."""
     docs = _indexed(spark, sf_dir)
     n = docs.count()
-    posted = tfidf.postings(docs)
+    posted = _held(tfidf.postings(docs))  # read twice: for the vocabulary and for the scores
     v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).alias("ordinal"), "vec_id", "embedding")
     return search.Index(docs, encoder.pack_vectors(v, "ordinal", "vec_id", "embedding"), posted, tfidf.terms(posted, n), n)
 
