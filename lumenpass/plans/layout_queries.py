@@ -210,7 +210,7 @@ _FILES = f"""rows AS (SELECT doc_id, (i - 1) // 12 + 1 AS n, (i - 1) % 12 AS j,
 
 
 @query(
-    f"""WITH {_FILES} SELECT '/in/' || doc_id || '.pdf' AS path, n::INT AS page_no, t AS text FROM blocks WHERE NOT regexp_matches(t, '^\d+$')
+    f"""WITH {_FILES} SELECT '/in/' || doc_id || '.pdf' AS path, n::INT AS page_no, t AS text FROM blocks WHERE NOT regexp_matches(t, '^\\d+$')
     UNION ALL SELECT '/in/' || doc_id || '.pdf', n::INT, array_to_string({_NOTE}, ' ') FROM (SELECT DISTINCT doc_id, n FROM rows) WHERE n % 3 > 0
     UNION ALL SELECT '/in/' || doc_id || '.pdf', -1, 'Unable to read PDF ''/in/' || doc_id || '.pdf'': not a PDF file' FROM documents WHERE doc_id % 50 = 7"""
 )
