@@ -111,6 +111,7 @@ class Voters:
 #: What votes are believed at before anything is estimated: log odds by tier of one hit and of dense ones, of seeds, patterns.
 BELIEVED = np.concatenate([np.tile(np.log([1.5, 2, 4, 8]) / 2, len(KINDS)), np.tile(np.log([2, 4, 8, 8]) / 2, len(KINDS)), np.ones(N_SEED), np.zeros(4)])
 BELIEVED_PRIOR = -3.0
+EM_ROUNDS = 1
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -198,7 +199,8 @@ class Toxicity:
 
     def fit(self, votes: np.ndarray, dense: np.ndarray, row: np.ndarray, entry: np.ndarray, count: np.ndarray, rounds: int = 300) -> np.ndarray:
         """Trains on the label model's posteriors, which it returns; no known label comes in."""
-        target = self.labels.fit(votes, sigmoid(votes @ BELIEVED + BELIEVED_PRIOR))
+        # one round: later ones may leave toxicity for whatever else parts the votes best, such as a language
+        target = self.labels.fit(votes, sigmoid(votes @ BELIEVED + BELIEVED_PRIOR), rounds=EM_ROUNDS)
         # the rarer class weighs more, by what the posteriors say of its size
         weight = 1 + target * (np.sqrt((1 - target).sum() / max(1.0, target.sum())) - 1)
         d, k = dense.shape[1], len(self.sparse)
