@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lumenpass.sources.documents import spread
-from lumenpass.sources.work import work_path, written
+from lumenpass.sources.work import small_batches, work_path, written
 
 __all__ = ["components", "documents", "fresh", "local_path", "per_text", "roots_of", "small_batches", "work_path", "written"]
 
@@ -26,15 +26,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker; smaller bounds of the caller's stay."""
-    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 32 << 20)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key).lower().removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents; fewer files than cores are spread over the cores (see ``spread``)."""
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
