@@ -309,3 +309,11 @@ def test_failures_are_rows(spark):
 
     made = {x.doc: (x.origin, x.page_no, bytes(x.pixels), x.error) for x in assembly.rasterize(files, render).collect()}
     assert made == {"/a/x.pdf": ("x.pdf", 1, b"123456", None), "/a/y.pdf": ("y.pdf", 0, b"", "no page")}
+
+
+def test_conversion_moves_pages_once(spark):
+    pages = spark.createDataFrame([("a", "a", 2, 1, 1, bytes(3), []), ("a", "a", 1, 1, 1, bytes(3), []), ("b", "b", 1, 1, 1, bytes(3), [])], assembly.PAGE_INPUTS)
+    out = assembly.convert(pages, lambda n, w, h, p: [{"id": 0, "label": "picture", "confidence": 1.0, "bbox": {"l": 0.0, "t": 0.0, "r": 1.0, "b": 1.0, "coord_origin": "TOPLEFT"}, "cells": []}])
+    assert "CoGroup" not in (plan := out._jdf.queryExecution().toString()) and plan.split("Physical Plan")[1].count("Exchange") == 1
+    got = {r.doc: [p.prov[0].page_no for p in r.document.pictures] for r in out.collect()}
+    assert got == {"a": [1, 2], "b": [1]}
