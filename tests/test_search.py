@@ -335,3 +335,33 @@ def test_running_jobs_are_cancelled_and_told_of(spark):
         index_build.from_sources(sources, Slow(), embedding_dim=2, cancelled=lambda: time.time() > began + 15, tasks=lambda done, of: told.append((done, of)))
     assert time.time() < began + 50 and told and all(0 <= a <= b for a, b in told)
     assert spark.range(3).count() == 3 and not (spark.sparkContext.getLocalProperty("spark.jobGroup.id") or "").startswith("lumenpass")
+
+
+def test_encoded_texts_leave_in_whole_batches(spark):
+    from lumenpass.plans import store_queries
+
+    df = spark.range(40).selectExpr("id AS ordinal", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('text ', id) END AS context").coalesce(1)
+    got = store_queries.byte_encoder(2).encode_documents(df)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    model, tokenizer = store_queries.byte_encoder().load()
+    for r in got.collect():
+        assert r.asDict() == {"ordinal": r.ordinal, **encoder.encode_batch(model, tokenizer, encoder.DOCUMENT, [None if r.ordinal % 7 == 0 else f"text {r.ordinal}"])[0]}
+
+
+def test_best_by_dense_score_of_a_whole_task(spark):
+    from pyspark.sql.types import LongType
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        v = spark.range(0, 41, 1, 1).selectExpr("id AS ordinal", "array(cast(id * 7 % 41 AS float), 1f) AS vectors")
+        asked = [([3, 5], search.scoring.Sets([np.array([1.0, 0.0]), np.array([-1.0, 0.0])], 2))]
+        every = search.dense_scores(v, asked, LongType(), 2)
+        best = search.dense_scores(v, asked, LongType(), 2, depth=3)
+        assert every.count() == 82
+        want = sorted((r.query_id, r.dense) for r in every.collect())
+        got = sorted((r.query_id, r.dense) for r in best.collect())
+        assert got == [x for q in (3, 5) for x in [w for w in want if w[0] == q][-3:]]
+    finally:
+        spark.conf.set(key, before)
