@@ -32,3 +32,18 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tables_bound_arrow_batches(spark):
+    from lumenpass.plans.registry import table
+
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], str(1 << 30))
+        table(spark, DATA, "part")
+        assert [spark.conf.get(k) for k in keys] == ["1000", str(32 << 20)]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
