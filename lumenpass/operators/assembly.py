@@ -330,13 +330,16 @@ class OnnxRun:
 def classify_figures(pictures: DataFrame, model: Callable[[int, int, bytes], list[tuple[str, float]]]) -> DataFrame:
     """``pictures`` (width, height, pixels, ...) with ``classes``, surest first, and the model's ``error`` where it fails."""
     schema = StructType([*pictures.schema.fields, *StructType.fromDDL("classes array<struct<class_name:string,confidence:double>>, error string")])
+    kinds = [f.type for f in to_arrow_schema(schema)][-2:]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [_tried(model, p) for p in zip(f["width"], f["height"], f["pixels"])]
-            yield f.assign(classes=[[{"class_name": n, "confidence": float(p)} for n, p in g[0]] for g in got], error=[g[1] for g in got])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_tried(model, p) for p in zip(*[b.column(c).to_pylist() for c in ("width", "height", "pixels")])]
+            classes = pa.array([[{"class_name": n, "confidence": float(p)} for n, p in g[0]] for g in got], kinds[0])
+            yield pa.RecordBatch.from_arrays([*b.columns, classes, pa.array([g[1] for g in got], kinds[1])], names=schema.names)
 
-    return pictures.mapInPandas(run, schema)
+    small_batches(pictures.sparkSession)
+    return pictures.mapInArrow(run, schema)
 
 
 def convert(pages: DataFrame, predictor: Callable, options: ConversionOptions = ConversionOptions(), classify: Callable | None = None, ocr: Callable | None = None) -> DataFrame:

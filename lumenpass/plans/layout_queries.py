@@ -328,7 +328,8 @@ def picture(key: int) -> tuple[int, int, bytes]:
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.udf(picture, "struct<width:int,height:int,pixels:binary>", useArrow=True)
-    return table(spark, sf_dir, "part").select("p_partkey", made("p_partkey").alias("i")).select("p_partkey", "i.*")
+    # the table is a small file, but each row is much work
+    return documents.spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", made("p_partkey").alias("i")).select("p_partkey", "i.*")
 
 
 _PIXEL = "(({x}) * 37 + ({y}) * 59 + c * 101 + k) % 256"

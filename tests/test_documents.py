@@ -317,3 +317,10 @@ def test_conversion_moves_pages_once(spark):
     assert "CoGroup" not in (plan := out._jdf.queryExecution().toString()) and plan.split("Physical Plan")[1].count("Exchange") == 1
     got = {r.doc: [p.prov[0].page_no for p in r.document.pictures] for r in out.collect()}
     assert got == {"a": [1, 2], "b": [1]}
+
+
+def test_pictures_are_made_on_all_cores(spark):
+    from lumenpass.plans import layout_queries
+
+    made = layout_queries._pictures(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and made.count() == 200
