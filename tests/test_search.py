@@ -365,3 +365,21 @@ def test_best_by_dense_score_of_a_whole_task(spark):
         assert got == [x for q in (3, 5) for x in [w for w in want if w[0] == q][-3:]]
     finally:
         spark.conf.set(key, before)
+
+
+def test_postings_are_counted_in_whole_batches(spark):
+    from collections import Counter
+
+    from lumenpass.functions import text as T
+
+    rows = [(1, "bbb aaa bbb", ["aaa ccc"]), (2, None, None), (3, "", ["xxx"]), (4, "aaa", []), (5, "Été 123 BBB é", ["123"]), (6, "aaa bbb ccc", None)]
+    df = spark.createDataFrame(rows, "ordinal long, text string, keywords array<string>").coalesce(1)
+    got = tfidf.postings(df)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    want = Counter()
+    for r in df.select("ordinal", T.term_matches("text").alias("a"), T.term_matches(F.array_join("keywords", " ")).alias("b")).collect():
+        for found, weight in ((r.a, 1.0), (r.b, 3.0)):
+            for term, n in Counter(found or []).items():
+                want[r.ordinal, term] += weight * n / len(found)
+    rows = got.collect()
+    assert len(rows) == len(want) > 8 and {(r.ordinal, r.term): r.tf for r in rows} == dict(want)
