@@ -47,3 +47,14 @@ def test_tables_bound_arrow_batches(spark):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["document_json_round_trip", "validate_documents"])
+def test_documents_without_lines(spark, tmp_path, name):
+    """Empty, blank and missing texts, and lines of other white space than spaces."""
+    texts = ["", None, " ", "\n", "\t", "a\t\n\t\nb\n\t", "x\n\u00a0\ny\n\u3000\nz", "a\r\nb\r\n\r\nc", "A.", "A.\nB.", "\x1c\nq"]
+    rows_of = [(k * len(texts) + i, t) for k in range(28) for i, t in enumerate(texts)]  # every text with every remainder
+    spark.createDataFrame(rows_of, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
