@@ -1,6 +1,9 @@
 import math
+import re
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lumenpass.operators import encoder, keywords, scoring, search, tfidf
 from lumenpass.options import EncoderConfig, KeywordOptions, SearchOptions, TfidfOptions
@@ -383,3 +386,60 @@ def test_postings_are_counted_in_whole_batches(spark):
                 want[r.ordinal, term] += weight * n / len(found)
     rows = got.collect()
     assert len(rows) == len(want) > 8 and {(r.ordinal, r.term): r.tf for r in rows} == dict(want)
+
+
+def test_pairs_of_query_and_passage_are_not_shuffled(spark):
+    from lumenpass.plans.queries import QUERIES
+
+    shown = QUERIES["lexical_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in shown and not re.search(r"Exchange hashpartitioning\((query_id#\w+, ordinal#|ordinal#\w+, query_id#|term#)", shown)
+
+
+@pytest.mark.parametrize("by_passage", [True, False])
+def test_candidates_by_brute_force(spark, monkeypatch, by_passage):
+    """More ties than the limit, more queries than a block, postings of a passage together or anywhere."""
+    monkeypatch.setattr(tfidf, "BLOCK_QUERIES", 3)
+    r = np.random.default_rng(5)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    i = index_of(spark, [(str(k), " ".join(r.choice(words, r.integers(1, 5)))) for k in range(300)])
+    posted = i.postings if by_passage else i.postings.repartition(5, "term")
+    i = replace(i, postings=posted, by_passage=by_passage)
+    asked = spark.createDataFrame([(k, " ".join(r.choice(words + ["zz"], 3))) for k in range(8)] + [(8, "zz"), (9, "")], "query_id long, query string")
+    idf, w = {x.term: x.idf for x in i.terms.collect()}, tfidf.query_weights(asked).collect()
+    score = {}
+    for p in i.postings.collect():
+        for x in w:
+            if x.term == p.term:
+                score[x.query_id, p.ordinal] = score.get((x.query_id, p.ordinal), 0.0) + p.tf * x.qf * idf[p.term] ** 2
+    for limit in (10, 0):
+        got = search.candidates(i, asked, SearchOptions(candidate_limit=limit), digits=9).orderBy("query_id", "cand_pos").collect()
+        want = []
+        for q in range(10):
+            best = sorted(((-round(s, 9), o) for (k, o), s in score.items() if k == q))
+            want += [(q, o, k) for k, (_, o) in enumerate(best[:limit] if limit else best, 1)]
+        assert [(x.query_id, x.ordinal, x.cand_pos) for x in got] == want
+        assert [x.lexical for x in got] == pytest.approx([score[q, o] for q, o, _ in want])
+
+
+def test_scores_in_pieces(monkeypatch):
+    """Passages are whole, and summed the same, wherever batches and steps end."""
+    monkeypatch.setattr(tfidf, "PAIRS", 5)
+    r = np.random.default_rng(6)
+    rows = [(o, t, float(r.integers(1, 9))) for o in range(40) for t in r.choice(list("abcdefz"), r.integers(1, 7), replace=False)]
+    weighted = pa.table({"query_id": [0, 0, 1, 2, 2, 2], "term": list("abbacd"), "w": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]})
+    (asked,) = tfidf._asked(weighted, "query_id", pa.int64(), 10)
+    batches = (pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a : a + 3])], names=["ordinal", "term", "tf"]) for a in range(0, len(rows), 3))
+    got, seen = {}, []
+    for part in tfidf._whole_passages(batches, asked.terms, room=4):
+        for ordinals, score in tfidf._scored(part, asked):
+            seen += ordinals.tolist()
+            got |= {(o, q): s for o, line in zip(ordinals.tolist(), score) for q, s in enumerate(line) if s}
+    want = {}
+    for o, t, tf in rows:
+        for q, u, w in zip(*weighted.to_pydict().values()):
+            if t == u:
+                want[o, q] = want.get((o, q), 0.0) + tf * w
+    assert got == want and len(seen) == len(set(seen))
+    held = [(np.zeros(9, np.int64), np.arange(9)[::-1], np.array([1.0] * 5 + [2.0, 2.0, 3.0, 0.5]))]
+    least = np.zeros(1)
+    assert sorted(zip(*(x.tolist() for x in tfidf._kept(held, least, 4, 0.0)[1:]))) == [(1, 3.0), (2, 2.0), (3, 2.0), (4, 1.0), (5, 1.0), (6, 1.0), (7, 1.0)] and least[0] == 1.0
